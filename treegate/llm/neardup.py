@@ -6,9 +6,9 @@
    copies cost one row.
 2. Documents that share a band are candidates.  In each band's bucket only the smallest
    id is compared with the rest (a star), on full sets.
-3. Components of the confirmed links.  In a bucket whose members ended in several
-   components, the pairs across components that were not compared yet are, in blocks
-   of bounded size, so no link is lost to the star; pairs inside a component cannot
+3. Components of the confirmed links.  Where the candidates of one smallest id ended in
+   several components, the pairs across components are compared too, in blocks of
+   bounded size, so no link is lost to the star; pairs inside a component cannot
    change anything and are never formed.
 4. Components of all links.
 
@@ -95,60 +95,49 @@ def _confirmer(percent: int):
 
 def _block_comparer(percent: int):
     def compare(group: pa.Table) -> pa.Table:
-        """Pairs of one bucket's two blocks across components, by exact counts over 32-bit hashes.
+        """Links across components between two blocks of one centre's candidates, by exact counts on full sets.
 
-        The counts can only exceed those of the full sets, so none is lost; what
-        passes is confirmed on full sets afterwards. A pair that meets in several
-        buckets is compared in the one of its first common band, and pairs with the
-        bucket's smallest id were compared before.
+        A pair across components has a member outside the commonest one, so only those
+        rows are held against all.
         """
         group = group.combine_chunks()
-        band, centre = group.column("band")[0].as_py(), group.column("centre")[0].as_py()
-        own, i, j = (group.column(c).to_numpy() for c in ("own", "i", "j"))
-        ids, labels, sizes = (group.column(c).to_numpy() for c in ("rep", "label", "n_shingles"))
-        bands = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("bands").chunk(0)])
-        sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("short").chunk(0)]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        terms, inverse = np.unique(np.concatenate([sets[r] for r in range(len(sets))]), return_inverse=True)
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        row_of = np.repeat(np.arange(len(sets)), np.diff(cut))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        own, ids, labels = (group.column(c).to_numpy() for c in ("own", "rep", "label"))
+        kinds, at, counts = np.unique(labels, return_inverse=True, return_counts=True)
+        rare = at != counts.argmax()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("elements").chunk(0)]
+        sizes = np.array([len(x) for x in sets])
+        terms, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        row_of = np.repeat(np.arange(len(sets)), sizes)
         twice = np.bincount(inverse, minlength=len(terms)) > 1
-        new = np.cumsum(twice) - 1
         keep = twice[inverse]
-        row_of, col_of = row_of[keep], new[inverse[keep]]
-        both = np.zeros((len(left), len(right)), np.float32)
-        at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-        width = max(256, 8_000_000 // max(1, len(left) + len(right)))  # bounds the dense pieces
-        for c in range(0, int(twice.sum()), width):
-            piece = (col_of >= c) & (col_of < c + width)
-            r, q = row_of[piece], col_of[piece] - c
-            x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-            m = at_left[r] >= 0
-            x[at_left[r[m]], q[m]] = 1
-            m = at_right[r] >= 0
-            y[at_right[r[m]], q[m]] = 1
-            both += x @ y.T
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        hit = (100 * both >= percent * union) & (labels[left][:, None] != labels[right][None, :])
-        a, b = np.nonzero(hit)
-        a, b = left[a], right[b]
-        fresh = (ids[a] != centre) & (ids[b] != centre) & ~(bands[a][:, :band] == bands[b][:, :band]).any(axis=1)
-        a, b = ids[a[fresh]], ids[b[fresh]]
+        row_of, col_of = row_of[keep], (np.cumsum(twice) - 1)[inverse[keep]]
+        width = max(256, 8_000_000 // len(sets))  # bounds the dense pieces
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for left, right in ((np.flatnonzero((own == i) & rare), np.flatnonzero(own == j)), (np.flatnonzero((own == i) & ~rare), np.flatnonzero((own == j) & rare))):
+            if not len(left) or not len(right):
+                continue
+            both = np.zeros((len(left), len(right)), np.float32)
+            at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+            at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+            for c in range(0, int(twice.sum()), width):
+                piece = (col_of >= c) & (col_of < c + width)
+                r, q = row_of[piece], col_of[piece] - c
+                x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+                m = at_left[r] >= 0
+                x[at_left[r[m]], q[m]] = 1
+                m = at_right[r] >= 0
+                y[at_right[r[m]], q[m]] = 1
+                both += x @ y.T
+            union = sizes[left][:, None] + sizes[right][None, :] - both
+            p, q = np.nonzero((100 * both >= percent * union) & (labels[left][:, None] != labels[right][None, :]))
+            found.append((ids[left[p]], ids[right[q]]))
+        a, b = (np.concatenate([x[n] for x in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return compare
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full sets as 32-bit hashes, and the bands as 32-bit hashes."""
-    for batch in batches:
-        sets = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("elements")]
-        flat = batch.column("bands").flatten().to_numpy().astype(np.uint64).reshape(batch.num_rows, -1)
-        bands = [x.tobytes() for x in (flat >> np.uint64(32)).astype(np.uint32)]
-        yield pa.record_batch([batch.column("rep"), pa.array(sets, pa.binary()), pa.array(bands, pa.binary())], names=["rep", "short", "bands"])
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): (doc_id, n_shingles, component_id, kept).
 
@@ -188,22 +177,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = work.write(confirmed(star), "links")
     first = work.write(connected_components(links, work, "first"), "first")
 
-    label = F.coalesce("component", "rep")
-    labelled = bucket.where("members > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", label).drop("component")
-    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    open_rows = work.write(labelled.join(split, "key", "left_semi"), "open")
-    needed = open_rows.select(F.col("rep").alias("doc_id")).distinct()
-    short = sets.join(needed, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").join(reps.select("rep", "bands"), "rep").select("rep", "elements", "bands").mapInArrow(_short, "rep long, short binary, bands binary")
+    # candidates of one centre that ended in several components
+    labelled = work.write(star.select(F.col("a").alias("centre"), F.col("b").alias("rep")).join(first.withColumnRenamed("node", "rep"), "rep", "left").select("centre", "rep", F.coalesce("component", "rep").alias("label")), "labelled")
+    split = labelled.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low < high").select("centre", "members")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = (
-        open_rows.withColumn("blocks", blocks)
+        labelled.join(split, "centre")
+        .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "centre", "rep", "n_shingles", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(short, "rep")
+        .select("centre", "rep", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
     )
-    late = work.write(dealt.groupBy("key", "i", "j").applyInArrow(_block_comparer(percent), "a long, b long").where("a <> b").distinct(), "late")
-    more = work.write(confirmed(late), "more")
+    more = work.write(dealt.groupBy("centre", "i", "j").applyInArrow(_block_comparer(percent), "a long, b long").where("a <> b").distinct(), "more")
     merged = links.unionByName(more)
     last = work.write(connected_components(merged, work, "last"), "last")
 
