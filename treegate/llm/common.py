@@ -15,6 +15,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -40,8 +42,17 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns it as read from the files."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Writes ``df`` and returns it as read from the files; the write's shuffle files go when it ends."""
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                conf.unset(_CLEANUP)
+            else:
+                conf.set(_CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

@@ -19,7 +19,7 @@ SLICE_BYTES = 2_000_000
 _U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
-_TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_TABLES = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INV = pow(_BASE, -1, 2**64)
 _pow = np.ones(1, np.uint64)
@@ -61,11 +61,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[:n], _inv[:n]
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """``out[i]``: sum of table[codes[j]] * base**j for j < i, modulo 2**64."""
+def prefix_hash(codes: np.ndarray, family: int = 0) -> np.ndarray:
+    """``out[i]``: sum of table[codes[j]] * base**j for j < i, modulo 2**64, with one of two tables."""
     p, _ = _powers(len(codes) + 1)
     out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_TABLE[codes] * p[: len(codes)], out=out[1:])
+    np.cumsum(_TABLES[family][codes] * p[: len(codes)], out=out[1:])
     return out
 
 
