@@ -15,7 +15,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while an intermediate table is written: its shuffle files go when it ends, and Arrow batches are bounded in bytes.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,17 +43,16 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns it as read from the files; the write's shuffle files go when it ends."""
+        """Writes ``df`` and returns it as read from the files."""
         conf = self.spark.conf
-        before = conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")
+        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
+        for k, v in _WHILE_WRITING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         finally:
-            if before is None:
-                conf.unset(_CLEANUP)
-            else:
-                conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

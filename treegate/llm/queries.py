@@ -49,3 +49,21 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treegate.llm.suffix import repeat_report
 
     return repeat_report(table(spark, sf_dir, "documents"), length=200)
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treegate.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+d as (select page_id, octet_length(b) n, sha256(b) h from p),
+f as (select *, min(page_id) over (partition by h) first from d)
+select page_id, n::bigint payload_bytes, h payload_digest,
+       case when n >= 100 and page_id > first then 'revisit' else 'response' end record_type,
+       case when n >= 100 and page_id > first then first end refers_to
+from f
+"""

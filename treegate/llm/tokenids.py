@@ -26,7 +26,7 @@ def put(uri: str, data: bytes) -> None:
     """Writes a file whole: under a name of this attempt first, so a repeated task leaves one good file."""
     where, path = fs.FileSystem.from_uri(uri)
     part = f"{path.rpartition('/')[0]}/_part-{uuid.uuid4().hex}"
-    with where.open_output_stream(part) as out:
+    with where.open_output_stream(part, compression=None) as out:
         out.write(data)
     where.move(part, path)
 
