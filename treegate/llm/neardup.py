@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = whole.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = work.write(whole.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "member")
     # bands of class representatives; a repeated doc_id keeps each of its texts
-    reps = whole.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "f1", "f2"])
+    reps = whole.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     banded = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
     full = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     bucket = work.write(banded.join(full, "key").select("key", "band", "centre", "members", "rep", "n_shingles"), "bucket")
