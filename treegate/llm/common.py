@@ -70,6 +70,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose key may be in ``wanted``: all that are, and few others, without a shuffle of ``df``.
+
+    A bitmap of 2**bits hashed keys, in rows of 64, is broadcast: 2**(bits - 6) pairs of
+    numbers at most, whatever the size of ``wanted``. A join that follows is exact; this
+    only keeps texts that it would drop out of its shuffle.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("1L")
+    found = wanted.select(word.alias("__word"), F.call_function("shiftleft", one, bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__word", word).withColumn("__at", bit).join(F.broadcast(found), "__word")
+    return marked.where(F.call_function("shiftright", F.col("__bits"), F.col("__at")).bitwiseAND(F.lit(1)) == 1).select(df.columns)
+
+
 def list_of(flat, counts, value_type: pa.DataType) -> pa.Array:
     """A list column from concatenated values and the length of each row's list."""
     import numpy as np

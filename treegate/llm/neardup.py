@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treegate.llm import kernels as K
-from treegate.llm.common import Workspace, list_of
+from treegate.llm.common import Workspace, likely, list_of
 from treegate.llm.graph import connected_components
 from treegate.llm.minhash import FastSimilaritySketch, band_keys
 
@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketched = work.write(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketched")
 
     whole = sketched.where("doc_id is not null and n_shingles > 0")
-    classes = whole.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = work.write(whole.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "member")
+    classes = work.write(whole.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    member = work.write(whole.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "member")
     # bands of class representatives; a repeated doc_id keeps each of its texts
     reps = whole.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
     banded = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
@@ -167,8 +167,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bucket = work.write(banded.join(full, "key").select("key", "band", "centre", "members", "rep", "n_shingles"), "bucket")
 
     star = work.write(bucket.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = work.write(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(k), "doc_id long, elements binary"), "sets")
+    wanted = work.write(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = work.write(likely(docs, wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(k), "doc_id long, elements binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("left")), sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("right"))
