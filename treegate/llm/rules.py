@@ -22,7 +22,7 @@ from treegate.llm import textstats
 from treegate.llm.quality import labelled
 
 #: Training rows of each label, at most; the least precision of a kept rule; rules at most.
-PER_LABEL, PRECISION, RULES = 5_000, 0.9, 12
+PER_LABEL, PRECISION, RULES = 5_000, 0.97, 12
 
 #: Features as Spark expressions over the counts: interpretable, and the same in training and use.
 FEATURES = {
@@ -104,6 +104,12 @@ def _prune(rule: Rule, columns: dict[str, np.ndarray], bad: np.ndarray) -> tuple
     return best, precision, caught
 
 
+def _tight(rule: Rule) -> Rule:
+    """The rule without thresholds that a tighter one of the same feature and side implies."""
+    last = {(c.feature, c.above): c for c in sorted(rule, key=lambda c: c.threshold if c.above else -c.threshold)}
+    return tuple(c for c in rule if last[c.feature, c.above] is c)
+
+
 def learn_list(columns: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISION, most: int = RULES) -> list[Rule]:
     """Ordered rules that cover bad rows; rows in any order give the same list up to ties."""
     rng = np.random.default_rng(23)
@@ -119,7 +125,7 @@ def learn_list(columns: dict[str, np.ndarray], bad: np.ndarray, precision: float
         rule, sure, caught = _prune(rule, cut(prune_at), bad[prune_at])
         if sure < precision or caught < 3:
             break
-        out.append(rule)
+        out.append(_tight(rule))
         left &= ~_covers(rule, columns, len(bad))
     return out
 
