@@ -5,8 +5,11 @@ query: runs of words twice as long as the longest item, each half over the next,
 item that occurs as a whole lies whole in one of them.  Scores are BM25 of the item for
 the passage's distinct words, divided by the item's score for its own words, so one
 threshold fits all items.  Block-max WAND (Ding and Suel, 2011) retrieves every item at
-or above it; a passage whose words' greatest impacts sum to less cannot have one, which
-whole batches are tested for at once.  What is retrieved counts only if the item's
+or above it, with blocks that are ranges of items, the same for all terms: a passage
+whose words' greatest impacts, over all items or in a block, sum to less cannot have an
+item there, which is tested for whole batches of passages at once; in the blocks that
+are left, pivots by the block's maxima decide which items are scored.  What is
+retrieved counts only if the item's
 question (its text up to the last sentence) and answer (the last sentence) overlap the
 passage.
 """
@@ -29,7 +32,7 @@ from treegate.llm import kernels as K
 K1, B = 1.2, 0.75
 #: Least share of an item's own score; least overlaps of question 4-grams and of answer words.
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.6
-GRAM, POSTINGS = 4, 64
+GRAM, BLOCKS, BLOCK_ITEMS = 4, 64, 4
 #: Items of one index; more items make more indexes, each over all texts.
 ITEMS_PER_INDEX = 50_000
 
@@ -78,10 +81,17 @@ class Index:
             for t, x in own.items():
                 postings.setdefault(t, []).append((d, x / whole))
         self.terms = np.array(sorted(postings), np.uint64)
-        self.docs = [[d for d, _ in postings[int(t)]] for t in self.terms]
-        self.impacts = [[x for _, x in postings[int(t)]] for t in self.terms]
-        self.blocks = [[max(x[i : i + POSTINGS]) for i in range(0, len(x), POSTINGS)] for x in self.impacts]
-        self.greatest = np.array([max(x) for x in self.impacts])
+        size = max(BLOCK_ITEMS, -(-len(rows) // BLOCKS))
+        #: per block, term number to its items there and their impacts
+        self.blocks: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(-(-len(rows) // size))]
+        self.maxima = np.zeros((len(self.terms), len(self.blocks)), np.float32)
+        for n, t in enumerate(self.terms.tolist()):
+            for d, x in postings[t]:
+                docs, impacts = self.blocks[d // size].setdefault(n, ([], []))
+                docs.append(d)
+                impacts.append(x)
+                self.maxima[n, d // size] = max(self.maxima[n, d // size], x)
+        self.greatest = self.maxima.max(axis=1).astype(float) if len(self.terms) else np.zeros(0)
         parts = [question_and_answer(r[1]) for r in rows]
         self.questions = [self._grams(_words_of(q)) for q, _ in parts]
         self.answers = [np.unique(_words_of(a)) for _, a in parts]
@@ -92,8 +102,9 @@ class Index:
             self.slots[-1] = len(self.terms)
 
     @staticmethod
-    def _grams(words: np.ndarray) -> np.ndarray:
-        return np.unique(K.shingle_hashes(words, min(GRAM, max(1, len(words)))))
+    def _grams(words: np.ndarray) -> tuple[int, np.ndarray]:
+        k = min(GRAM, max(1, len(words)))
+        return k, np.unique(K.shingle_hashes(words, k))
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """Term numbers of words, -1 for words in no item."""
@@ -106,60 +117,44 @@ class Index:
         out[maybe] = np.where(self.terms[at] == words[maybe], at, -1)
         return out
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Every item whose score for the distinct ``terms`` is at least ``threshold``, by block-max WAND."""
-        threshold -= 1e-9
-        lists = [[self.docs[t][0], 0, t] for t in terms]  # current item, place, term
+    def search(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
+        """Every item of a block whose score for the distinct ``terms`` is at least ``threshold``, by WAND with the block's maxima."""
+        threshold -= 1e-6
+        here, bounds = self.blocks[block], self.maxima[:, block]
+        lists = [[here[t][0][0], 0, t] for t in terms if t in here]  # current item, place, term
         out = []
+
+        def advance(x: list, item: int) -> None:
+            docs = here[x[2]][0]
+            x[1] = bisect_left(docs, item, x[1])
+            x[0] = docs[x[1]] if x[1] < len(docs) else None
+
         while lists:
             lists.sort(key=lambda x: x[0])
             bound, pivot = 0.0, None
-            for n, (_, _, t) in enumerate(lists):
-                bound += self.greatest[t]
+            for x in lists:
+                bound += float(bounds[x[2]])
                 if bound >= threshold:
-                    pivot = n
+                    pivot = x[0]
                     break
             if pivot is None:
-                return out
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            # the blocks in which the pivot's lists would hold the item
-            bound, until = 0.0, None
-            for _, place, t in lists[: pivot + 1]:
-                docs = self.docs[t]
-                b = bisect_left(docs, item, place) // POSTINGS
-                if b < len(self.blocks[t]):
-                    bound += self.blocks[t][b]
-                    end = docs[min(len(docs), (b + 1) * POSTINGS) - 1]
-                    until = end if until is None else min(until, end)
-            if bound >= threshold:
-                score = 0.0
-                for x in lists[: pivot + 1]:
-                    self._advance(x, item)
-                    if x[0] == item:
-                        score += self.impacts[x[2]][x[1]]
-                        self._advance(x, item + 1)
-                if score >= threshold:
-                    out.append((item, score))
-            else:
-                after = (item if until is None else max(item, until)) + 1
-                if pivot + 1 < len(lists):
-                    after = min(after, max(item + 1, lists[pivot + 1][0]))
-                for x in lists[: pivot + 1]:
-                    self._advance(x, after)
+                break
+            score = 0.0
+            for x in lists:
+                if x[0] > pivot:
+                    break
+                advance(x, pivot)
+                if x[0] == pivot:
+                    score += here[x[2]][1][x[1]]
+                    advance(x, pivot + 1)
+            if score >= threshold:
+                out.append((pivot, score))
             lists = [x for x in lists if x[0] is not None]
         return out
 
-    def _advance(self, x: list, item: int) -> None:
-        docs = self.docs[x[2]]
-        x[1] = bisect_left(docs, item, x[1])
-        x[0] = docs[x[1]] if x[1] < len(docs) else None
-
     def verify(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the item's question 4-grams and of its answer's words that the passage has (no answer: 1)."""
-        question, answer = self.questions[item], self.answers[item]
-        k = min(GRAM, max(1, len(passage)))
+        (k, question), answer = self.questions[item], self.answers[item]
         q = float(np.isin(question, K.shingle_hashes(passage, k)).mean()) if len(question) else 0.0
         a = float(np.isin(answer, passage).mean()) if len(answer) else 1.0
         return q, a
@@ -179,16 +174,22 @@ class Index:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
         start = first[row] + nth * stride
         end = np.minimum(start + 2 * stride, first[row + 1])
-        for p in np.flatnonzero(total[end] - total[start] >= threshold - 1e-6):
-            own = term[start[p] : end[p]]
-            terms = np.unique(own[own >= 0])
-            if self.greatest[terms].sum() < threshold - 1e-6:
-                continue
-            passage = words[start[p] : end[p]]
-            for item, score in self.search(terms.tolist(), threshold):
-                q, a = self.verify(item, passage)
-                if q >= question and a >= answer:
-                    out[row[p]].append((item, score, q, a))
+        likely = np.flatnonzero(total[end] - total[start] >= threshold - 1e-6)
+        for i in range(0, len(likely), 2_000):  # bounds the tables of block sums
+            own = likely[i : i + 2_000]
+            sizes = end[own] - start[own]
+            nth = np.repeat(np.arange(len(own)), sizes)
+            place = np.arange(len(nth)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[own][nth]
+            known = term[place] >= 0
+            nth, terms = np.divmod(np.unique(nth[known] * len(self.terms) + term[place[known]]), len(self.terms))
+            cut = np.searchsorted(nth, np.arange(len(own) + 1))
+            sums = np.add.reduceat(self.maxima[terms], cut[:-1], axis=0)  # every one has a term
+            for p, block in zip(*np.nonzero(sums >= threshold - 1e-4), strict=True):
+                passage = words[start[own[p]] : end[own[p]]]
+                for item, score in self.search(terms[cut[p] : cut[p + 1]].tolist(), int(block), threshold):
+                    q, a = self.verify(item, passage)
+                    if q >= question and a >= answer:
+                        out[row[own[p]]].append((item, score, q, a))
         for r, found in enumerate(out):
             best: dict[int, tuple] = {}
             for x in found:
