@@ -1,23 +1,70 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: stages over the documents table, each written and read again.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all
+but the last return the columns of documents.  Operators of :mod:`treegate.llm` define
+what nulls, empty texts, repeats and empty tables give; the stages add no other cases.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from treegate.llm.common import Workspace
+from treegate.llm.common import Workspace, without
+from treegate.llm.decontaminate import find_items
+from treegate.llm.langid import fit, identify
 from treegate.llm.neardup import near_duplicates
+from treegate.llm.packing import pack
+from treegate.llm.suffix import remove_repeats
+
+#: Least certainty of a language that a document is kept with.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language (null, or without a letter) or in none with any certainty."""
+    named = docs.withColumnRenamed("lang_pred", "__lang_pred").withColumnRenamed("score", "__score")
+    judged = identify(named, fit(docs, F.lit(True))).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").drop("lang_pred", "score")
+    return judged.toDF(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    work = Workspace(spark, "neardup-gone")
+    gone = work.write(near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct(), "gone")
+    return without(docs, gone, "doc_id")
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out byte strings of 200 bytes or more that occur elsewhere; documents left without a word go."""
+    cut = remove_repeats(docs, length=200)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    left = cut.where(~emptied | F.col("text").isNull())
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of ``benchmark``."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_items(docs, benchmark).where(F.size("items") == 0).drop("items")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of what is left into sequences of at most 4096: one row per piece."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
     ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: SQL cannot express the learned stages; tests compare run() with brute force.

@@ -71,6 +71,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _bitmap(df: DataFrame, wanted: DataFrame, key: tuple[str, ...], bits: int) -> DataFrame:
+    """``df`` with ``__maybe``: whether the row's key may be in ``wanted``."""
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    found = wanted.select(word.alias("__word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = df.withColumn("__word", word).withColumn("__at", bit).join(F.broadcast(found), "__word", "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("__bits"), F.col("__at")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return marked.select(*df.columns, maybe.alias("__maybe"))
+
+
 def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataFrame:
     """The rows of ``df`` whose key may be in ``wanted``: all that are, and few others, without a shuffle of ``df``.
 
@@ -78,12 +88,14 @@ def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataF
     numbers at most, whatever the size of ``wanted``. A join that follows is exact; this
     only keeps texts that it would drop out of its shuffle.
     """
-    place = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
-    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
-    one = F.expr("1L")
-    found = wanted.select(word.alias("__word"), F.call_function("shiftleft", one, bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__word", word).withColumn("__at", bit).join(F.broadcast(found), "__word")
-    return marked.where(F.call_function("shiftright", F.col("__bits"), F.col("__at")).bitwiseAND(F.lit(1)) == 1).select(df.columns)
+    return _bitmap(df, wanted, key, bits).where("__maybe").drop("__maybe")
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose ``key`` isn't in ``gone``; only those that the bitmap can't clear are shuffled."""
+    marked = _bitmap(df, gone, (key,), bits)
+    clear, open_rows = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe")
+    return clear.unionByName(open_rows.join(gone.select(key), key, "left_anti").select(df.columns))
 
 
 def list_of(flat, counts, value_type: pa.DataType) -> pa.Array:
