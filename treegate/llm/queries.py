@@ -107,3 +107,21 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     found = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("items").alias("hit")).select("doc_id", "hit.*")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treegate.llm.licenses import license_scan
+
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def _license_oracle() -> str:
+    from treegate.llm.licenses import oracle
+
+    return oracle()
+
+
+ORACLES["op2_license_scan"] = _license_oracle()
