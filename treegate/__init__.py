@@ -1 +1,11 @@
-"""Validation and filtering of tree-shaped records by grammars, on Spark."""
+"""Validation and filtering of tree-shaped records by grammars, on Spark.
+
+    from treegate import parse
+    parse('.l_returnflag == "R"').filter(lineitem)
+"""
+
+from treegate.errors import GrammarError, RecordError
+from treegate.functions.udfs import FunctionLibrary, sample_library
+from treegate.operators.filtering import Grammar, filter, parse, validate  # noqa: A004
+
+__all__ = ["FunctionLibrary", "Grammar", "GrammarError", "RecordError", "filter", "parse", "sample_library", "validate"]

@@ -1,4 +1,246 @@
-"""The queries over the driver's tables, and their SQL."""
+"""The queries over the driver's tables, and the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import os
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treegate.functions.udfs import sample_library
+from treegate.operators.filtering import parse
+from treegate.sources import proto
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: What a query returns of each table.
+KEYS = {
+    "lineitem": ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"],
+    "orders": ["o_orderkey", "o_orderpriority"],
+    "part": ["p_partkey", "p_size", "p_brand"],
+    "customer": ["c_custkey", "c_name", "c_mktsegment"],
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "events": ["event_id", "event_type", "props"],
+    "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
+}
+#: Columns that the grammar sees; dates have no label, so grammars over all fields leave them out.
+_NO_LABEL = {"l_shipdate", "o_orderdate", "ts"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _typed(key: str, name: str, grammar: str, where: str, functions=None, columns: list[str] | None = None) -> None:
+    """A grammar over a table's rows, and its predicate in SQL."""
+    keys = columns or KEYS[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, name)
+        return parse(grammar, functions).filter(df.drop(*_NO_LABEL)).select(*keys)
+
+    QUERIES[key] = run
+    ORACLES[key] = f"select {', '.join(keys)} from {name} where {where}"
+
+
+# comparisons
+_typed("eq_int", "lineitem", ".l_linenumber == 1", "l_linenumber = 1")
+_typed("eq_string", "lineitem", '.l_returnflag == "R"', "l_returnflag = 'R'")
+_typed("ne_string", "lineitem", '.l_returnflag != "R"', "l_returnflag <> 'R'")
+_typed("lt_double", "lineitem", ".l_quantity < double(10)", "l_quantity < 10")
+_typed("le_double", "lineitem", ".l_quantity <= double(10)", "l_quantity <= 10")
+_typed("gt_double", "lineitem", ".l_quantity > double(45)", "l_quantity > 45")
+_typed("ge_double", "lineitem", ".l_quantity >= double(45)", "l_quantity >= 45")
+_typed("ge_int", "part", ".p_size >= 25", "p_size >= 25")
+# strings
+_typed("prefix", "orders", '.o_orderpriority ^= "1"', "starts_with(o_orderpriority, '1')")
+_typed("suffix", "orders", '.o_orderpriority $= "LOW"', "ends_with(o_orderpriority, 'LOW')")
+_typed("substr", "orders", '.o_orderpriority *= "GENT"', "contains(o_orderpriority, 'GENT')")
+_typed("regex", "part", '.p_brand ~= "[12]$"', "regexp_matches(p_brand, '[12]$')")
+_typed("lower", "customer", '.c_mktsegment->eq(toLower($string), "building")', "lower(c_mktsegment) = 'building'")
+_typed("upper", "customer", '.c_mktsegment->eq(toUpper($string), "BUILDING")', "upper(c_mktsegment) = 'BUILDING'")
+_typed("length_str", "documents", ".text->gt(length($string), 5000)", "length(text) > 5000")
+# lists, types, logic
+_typed("length_list", "lineitem", ".l_linenumber->eq($int, length([]int{1,2}))", "l_linenumber = 2")
+_typed("elem_list", "lineitem", ".l_linenumber->eq($int, elem([]int{1,3},1))", "l_linenumber = 3")
+_typed("member", "lineitem", '.l_returnflag->contains($string, []string{"R","A"})', "l_returnflag in ('R', 'A')")
+_typed("type_double", "events", ".value :: $double", "value is not null")
+_typed("type_mismatch", "events", ".value :: $int", "false")
+_typed("expr_and", "part", ".p_size->and(ge($int,10), lt($int,20))", "p_size >= 10 and p_size < 20")
+_typed("expr_or", "part", ".p_size->or(lt($int,5), gt($int,45))", "p_size < 5 or p_size > 45")
+_typed("expr_not", "part", ".p_size->not(lt($int,25))", "not p_size < 25")
+# patterns
+_typed("pat_and", "lineitem", '(.l_returnflag == "R" & .l_quantity > double(45))', "l_returnflag = 'R' and l_quantity > 45")
+_typed("pat_or", "lineitem", '(.l_returnflag == "R" | .l_quantity > double(45))', "l_returnflag = 'R' or l_quantity > 45")
+_typed("pat_not", "lineitem", '!(.l_returnflag == "R")', "l_returnflag <> 'R' or l_returnflag is null")
+_typed("concat", "region", '[r_regionkey:*, r_name == "ASIA"]', "r_name = 'ASIA'")
+_typed("concat_wrong_order", "region", "[r_name:*, r_regionkey:*]", "false")
+_typed("interleave", "region", '{r_name == "ASIA"; r_regionkey:*}', "r_name = 'ASIA'")
+_typed("interleave_missing", "nation", "{n_name:*; n_regionkey:*}", "false")
+_typed("contains_sequence", "nation", '.[n_nationkey >= 5, n_regionkey == 1]', "n_nationkey >= 5 and n_regionkey = 1")
+_typed("star", "embeddings", ".embedding:(_:->lt($double, double(0.2)))*", "len(list_filter(embedding, lambda x: x >= 0.2::float)) = 0")
+_typed("optional", "region", "[r_regionkey:*, r_name:*, (zzz:*)?]", "true")
+_typed("exists_array", "embeddings", ".embedding._ > double(0.3)", "len(list_filter(embedding, lambda x: x > 0.3::double)) > 0")
+_typed("index_array", "embeddings", ".embedding.0 > double(0)", "embedding[1] > 0")
+_typed("sequence_array", "embeddings", ".embedding:[_ > double(0), _ < double(0), *]", "embedding[1] > 0 and embedding[2] < 0")
+_typed("empty", "region", "<empty>", "false")
+_typed("any", "region", "*", "true")
+_typed("never", "region", "!(*)", "false")
+_typed("name_any", "customer", '._ == "BUILDING"', "c_mktsegment = 'BUILDING' or c_name = 'BUILDING'")
+_typed("name_not", "customer", '.!(c_name) == "BUILDING"', "c_mktsegment = 'BUILDING'")
+_typed("name_choice", "customer", '.(c_name|c_mktsegment) == "BUILDING"', "c_name = 'BUILDING' or c_mktsegment = 'BUILDING'")
+_typed("ref", "orders", '#main = .o_orderpriority:@u  #u = ^= "1"', "starts_with(o_orderpriority, '1')")
+_typed("err_abort", "customer", '._ ^= "Cust"', "false")
+# user functions
+_PRIMES = ", ".join(str(n) for n in range(2, 51) if all(n % d for d in range(2, n)))
+_typed("udf_prime", "part", ".p_size->isPrime($int)", f"p_size in ({_PRIMES})", sample_library())
+_typed("udf_inc", "part", ".p_size->eq(inc($int), 26)", "p_size = 25", sample_library())
+_typed("udf_concat", "part", '.p_brand->eq(concat($string, "!"), "Brand#1!")', "p_brand = 'Brand#1'", sample_library())
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _json(key: str, grammar: str, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return parse(grammar).filter(table(spark, sf_dir, "events").select(*KEYS["events"]), on="props", format="json")
+
+    QUERIES[key] = run
+    ORACLES[key] = f"select {', '.join(KEYS['events'])} from events where {where}"
+
+
+_K = "cast(json_extract(props, '$.k') as bigint)"
+_json("json_eq", ".k > 50", f"{_K} > 50")
+_json("json_exact", "k > 50", f"{_K} > 50")
+_json("json_not", "!(.k > 50)", f"not {_K} > 50")
+
+
+def _orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order and its lines as one JSON text."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select("o_orderkey", F.to_json(F.struct(F.struct(F.col("o_orderpriority").alias("priority")).alias("head"), "lines")).alias("body"))
+
+
+@query
+def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse('.head.priority == "1-URGENT"').filter(_orders_json(spark, sf_dir), on="body", format="json").select("o_orderkey")
+
+
+ORACLES["json_nested"] = "select o_orderkey from orders where o_orderpriority = '1-URGENT' and o_orderkey in (select l_orderkey from lineitem)"
+
+
+@query
+def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse('.lines:(_:{n:*; flag == "N"})*').filter(_orders_json(spark, sf_dir), on="body", format="json").select("o_orderkey")
+
+
+ORACLES["json_array"] = "select l_orderkey as o_orderkey from lineitem where l_orderkey in (select o_orderkey from orders) group by 1 having bool_and(l_returnflag = 'N')"
+
+
+@query
+def typed_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same nesting as typed columns: structs and arrays as predicates."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"))).alias("lines"))
+    return parse('.lines._:{n:*; flag == "R"}').filter(lines).select("l_orderkey")
+
+
+ORACLES["typed_nested"] = "select distinct l_orderkey from lineitem where l_returnflag = 'R'"
+
+
+@query
+def json_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of n_regionkey links that ends in a leaf."""
+    chain = F.concat(F.expr("repeat('{\"next\":', n_regionkey)"), F.lit('{"leaf":'), F.col("n_nationkey") % 2, F.lit("}"), F.expr("repeat('}', n_regionkey)"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", chain.alias("body"))
+    return parse("#main = (.leaf == 1 | .next:@main)").filter(nations, on="body", format="json").select("n_nationkey")
+
+
+ORACLES["json_recursion"] = "select n_nationkey from nation where n_nationkey % 2 = 1"
+
+
+@query
+def xml_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").withColumn("body", F.concat(F.lit("<r><a>"), "n_regionkey", F.lit("</a></r>")))
+    return parse("r:a == 1").filter(nations, on="body", format="xml").select(*KEYS["nation"])
+
+
+ORACLES["xml_leaf"] = "select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 1"
+
+
+def nation_descriptors() -> bytes:
+    """A FileDescriptorSet of one message: nation.Nation with key (uint64), name (string) and region (int32)."""
+    fields = b""
+    for number, (name, kind) in enumerate((("key", proto.UINT64_T), ("name", proto.STRING_T), ("region", proto.INT32_T)), 1):
+        f = proto.encode_field(1, proto.STRING_T, name) + proto.encode_field(3, proto.INT32_T, number) + proto.encode_field(4, proto.INT32_T, 1) + proto.encode_field(5, proto.INT32_T, kind)
+        fields += proto.encode_field(2, proto.MESSAGE_T, f)
+    message = proto.encode_field(1, proto.STRING_T, "Nation") + fields
+    file = proto.encode_field(1, proto.STRING_T, "nation.proto") + proto.encode_field(2, proto.STRING_T, "nation") + proto.encode_field(4, proto.MESSAGE_T, message)
+    return proto.encode_field(1, proto.MESSAGE_T, file)
+
+
+@query
+def proto_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # keys under 128 and names under 128 bytes: one-byte numbers
+    body = F.concat(F.unhex(F.lit("08")), F.unhex(F.lpad(F.hex("n_nationkey"), 2, "0")), F.unhex(F.lit("12")), F.unhex(F.lpad(F.hex(F.length("n_name")), 2, "0")), F.encode("n_name", "UTF-8"), F.unhex(F.lit("18")), F.unhex(F.lpad(F.hex("n_regionkey"), 2, "0")))
+    nations = table(spark, sf_dir, "nation").withColumn("body", body)
+    grammar = parse("(.region == 1 & .key >= uint(5))")
+    return grammar.filter(nations, on="body", format="protobuf", descriptors=nation_descriptors(), message="nation.Nation").select(*KEYS["nation"])
+
+
+ORACLES["proto_leaf"] = "select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 1 and n_nationkey >= 5"
+
+
+@query
+def validate_col(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse('.r_name == "ASIA"').validate(table(spark, sf_dir, "region")).select("r_regionkey", "valid")
+
+
+ORACLES["validate_col"] = "select r_regionkey, r_name = 'ASIA' as valid from region"
+
+
+@query
+def row_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed frame through the automaton instead of predicates."""
+    part = table(spark, sf_dir, "part")
+    return part.filter(parse(".p_size >= 25").plan(part, how="automaton").column).select(*KEYS["part"])
+
+
+ORACLES["row_automaton"] = "select p_partkey, p_size, p_brand from part where p_size >= 25"
+
+
+@query
+def compose_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = parse(".l_quantity > double(45)").filter(table(spark, sf_dir, "lineitem"))
+    return kept.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+ORACLES["compose_agg"] = "select l_returnflag, count(*) as n from lineitem where l_quantity > 45 group by 1"
+
+
+@query
+def streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream, filtered by a JSON grammar."""
+    from treegate.streaming.filtering import filter_to_memory, read_stream
+
+    schema = table(spark, sf_dir, "events").schema
+    name = f"events_{uuid.uuid4().hex}"
+    stream = read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
+    running = filter_to_memory(parse(".k > 50"), stream, name, on="props", format="json")
+    running.awaitTermination()
+    return spark.table(name).select(*KEYS["events"])
+
+
+ORACLES["streaming"] = f"select {', '.join(KEYS['events'])} from events where {_K} > 50"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines."""
+    return QUERIES["eq_string"](spark, os.fspath(sf_dir))
