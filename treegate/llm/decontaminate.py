@@ -236,6 +236,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         shared = docs.sparkSession.sparkContext.broadcast(index)  # ITEMS_PER_INDEX items at most
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            K.release_caches()
             index = shared.value
             for batch in batches:
                 for part, buf, offs in K.slices(batch, "text"):

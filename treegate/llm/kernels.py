@@ -9,12 +9,13 @@ bounds the temporaries of a worker.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -33,6 +34,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def release_caches() -> None:
+    """Frees what token encoders have cached in this worker, which may serve another operator now."""
+    tokens = sys.modules.get("treegate.llm.tokens")
+    if tokens is not None:
+        tokens.encoders.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of the public SplitMix64 generator, elementwise."""
     x = x ^ (x >> _U64(30))

@@ -198,6 +198,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release_caches()
         for batch in batches:
             for rows, buf, offs in K.slices(batch, "text"):
                 lang, sure = shared.value.predict(buf, offs)

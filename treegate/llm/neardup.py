@@ -44,6 +44,7 @@ def _row_sets(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, k: int) -
 
 def _sketcher(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release_caches()
         sketcher = FastSimilaritySketch(BINS)
         odd = np.uint64(0xC2B2AE3D27D4EB4F)
         for batch in batches:

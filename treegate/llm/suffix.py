@@ -87,6 +87,7 @@ def _regions_of(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple
 
 def _regions(length: int, k: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release_caches()
         for batch in batches:
             for rows, buf, offs in K.slices(batch, "text"):
                 rid, tag = rows.column("rid").to_numpy(), rows.column("tag").to_numpy()
@@ -276,6 +277,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _removal(length: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release_caches()
         for batch in batches:
             for rows, buf, offs in K.slices(batch, "text"):
                 lists = rows.column("packs").to_pylist() if rows.column("packs").null_count == rows.num_rows else None

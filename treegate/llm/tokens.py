@@ -108,11 +108,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
