@@ -13,19 +13,24 @@ from treegate.functions.expr import FALSE, RAISE, TRUE, Call, Const, Expr, Overl
 from treegate.labels import BOOL, BYTES, DOUBLE, INT, KINDS, LISTS, STRING, UINT
 
 
-def _no_nan(kind: str, *columns: Column) -> Column | None:
-    """True where no operand is NaN: Spark orders NaN, IEEE comparisons with it are false."""
-    if kind != DOUBLE:
-        return None
-    return ~F.isnan(columns[0]) & ~F.isnan(columns[1])
+#: No double is above it but NaN, which Spark orders last and IEEE comparisons leave out; a bound like this reaches scans.
+_LAST = float("inf")
 
 
-def _compared(kind: str, compare):
+def _compared(kind: str, compare, greater: int | None):
+    """A comparison; operand number ``greater`` must not be NaN for it to hold (None: neither, if both are columns)."""
+
     def column(a: Any, b: Any) -> Column:
-        out = compare(a, b)
-        for x in (a, b):
-            if kind == DOUBLE and isinstance(x, Column):
-                out = out & ~F.isnan(x)
+        out = compare(_column(a), _column(b))
+        if kind != DOUBLE:
+            return out
+        if greater is not None:
+            guarded = [(a, b)[greater]]
+        else:
+            guarded = [a] if isinstance(a, Column) and isinstance(b, Column) else []
+        for x in guarded:
+            if isinstance(x, Column):
+                out = out & (x <= F.lit(_LAST))
         return out
 
     return column
@@ -34,10 +39,7 @@ def _compared(kind: str, compare):
 def _differ(kind: str):
     def column(a: Any, b: Any) -> Column:
         out = _column(a) != _column(b)
-        for x in (a, b):
-            if kind == DOUBLE and isinstance(x, Column):
-                out = out | F.isnan(x)
-        return out
+        return out | F.isnan(a) if kind == DOUBLE and isinstance(a, Column) and isinstance(b, Column) else out
 
     return column
 
@@ -69,14 +71,14 @@ def _table() -> dict[str, list[Overload]]:
         out.setdefault(name, []).append(Overload(name, args, returns, python, column, on_error))
 
     for k in KINDS:
-        add("eq", (k, k), BOOL, lambda a, b: a == b, _compared(k, lambda a, b: _column(a) == _column(b)), FALSE)
+        add("eq", (k, k), BOOL, lambda a, b: a == b, _compared(k, lambda a, b: a == b, None), FALSE)
         add("ne", (k, k), BOOL, lambda a, b: a != b, _differ(k), FALSE)
-        add("type", (k,), BOOL, lambda a: True, lambda a: F.lit(True), FALSE)
+        add("type", (k,), BOOL, lambda a: True, lambda a: _column(a).isNotNull(), FALSE)
     for k in (INT, UINT, DOUBLE, BYTES):
-        add("ge", (k, k), BOOL, lambda a, b: a >= b, _compared(k, lambda a, b: _column(a) >= _column(b)), FALSE)
-        add("gt", (k, k), BOOL, lambda a, b: a > b, _compared(k, lambda a, b: _column(a) > _column(b)), FALSE)
-        add("le", (k, k), BOOL, lambda a, b: a <= b, _compared(k, lambda a, b: _column(a) <= _column(b)), FALSE)
-        add("lt", (k, k), BOOL, lambda a, b: a < b, _compared(k, lambda a, b: _column(a) < _column(b)), FALSE)
+        add("ge", (k, k), BOOL, lambda a, b: a >= b, _compared(k, lambda a, b: a >= b, 0), FALSE)
+        add("gt", (k, k), BOOL, lambda a, b: a > b, _compared(k, lambda a, b: a > b, 0), FALSE)
+        add("le", (k, k), BOOL, lambda a, b: a <= b, _compared(k, lambda a, b: a <= b, 1), FALSE)
+        add("lt", (k, k), BOOL, lambda a, b: a < b, _compared(k, lambda a, b: a < b, 1), FALSE)
     add("contains", (STRING, STRING), BOOL, lambda a, b: b in a, lambda a, b: _column(a).contains(_column(b)))
     for k in (STRING, INT, UINT):
         add("contains", (k, LISTS[k]), BOOL, lambda a, b: a in b, lambda a, b: _column(a).isin(*b) if isinstance(b, (list, tuple)) and not any(isinstance(x, Column) for x in b) else F.array_contains(_array(b), _column(a)))

@@ -24,7 +24,7 @@ from treegate import naive
 from treegate import patterns as P
 from treegate.errors import GrammarError, RecordError
 from treegate.functions.expr import RAISE, TRUE, Call, Const, Expr, ListOf, Var
-from treegate.functions.stdlib import negated_comparison
+from treegate.functions.stdlib import TABLE, negated_comparison
 from treegate.grammar import Grammar
 from treegate.labels import BOOL, INT, STRING, UINT
 from treegate.patterns import Pattern
@@ -90,6 +90,12 @@ def _plain(x: Any) -> Any:
     return [_plain(y) for y in x] if isinstance(x, (list, tuple)) else x
 
 
+def _has_user_function(e: Expr) -> bool:
+    if isinstance(e, Call):
+        return e.function not in TABLE.get(e.function.name, []) or any(map(_has_user_function, e.args))
+    return isinstance(e, ListOf) and any(map(_has_user_function, e.items))
+
+
 class Lowering:
     """One grammar over one schema."""
 
@@ -226,6 +232,8 @@ class Lowering:
         lowered = lower_expr(e, kind, column)
         if isinstance(lowered, bool):
             return bdd.TRUE if lowered else bdd.FALSE
+        if _has_user_function(e):
+            lowered = lowered & column.isNotNull()  # its column may be true on null
         opposite = negated_comparison(e)
 
         def negated() -> Column:
