@@ -20,6 +20,8 @@ from treegate.llm.tokens import encoder
 
 #: Tokens after which a writer starts its next file.
 FILE_TOKENS = 2_000_000
+#: Word pieces that a writer keeps encoded: about 160 MB.
+CACHE_PIECES = 800_000
 
 
 def put(uri: str, data: bytes) -> None:
@@ -36,7 +38,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, CACHE_PIECES), np.array([end_id], "<u4").tobytes()
         doc_ids: list[int | None] = []
         pieces: list[bytes] = []
         held = 0
