@@ -91,17 +91,16 @@ def _regions(length: int, k: int):
         for batch in batches:
             for rows, buf, offs in K.slices(batch, "text"):
                 rid, tag = rows.column("rid").to_numpy(), rows.column("tag").to_numpy()
-                for start in range(0, max(1, len(buf) - length + 1), PIECE):  # one piece unless one very long text
-                    part = buf if len(buf) <= PIECE + length else buf[start : start + PIECE + length - 1]
-                    cut = offs if len(part) == len(buf) else np.array([0, len(part)])
+                whole = rows.num_rows > 1 or len(buf) <= PIECE + length
+                for start in [0] if whole else range(0, len(buf) - length + 1, PIECE):
+                    part = buf if whole else buf[start : start + PIECE + length - 1]
+                    cut = offs if whole else np.array([0, len(part)])
                     if len(part) < length:
                         continue
                     lo, hi, anchor, key, sub = _regions_of(part, cut, length, k)
                     row = np.searchsorted(cut, lo, side="right") - 1
-                    packed = _pack(lo + (start if cut is not offs else -offs[row]), anchor - lo, hi - lo, tag[row])
+                    packed = _pack(lo - cut[row] + start, anchor - lo, hi - lo, tag[row])
                     yield pa.record_batch([pa.array(K.signed(x), pa.int64()) for x in (key, sub, rid[row], packed)], names=["key", "sub", "rid", "pack"])
-                    if cut is offs:
-                        break
 
     return find
 
