@@ -16,8 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Held while an intermediate table is written: its shuffle files go when it ends, and Arrow batches are bounded in bytes.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: Held while an intermediate table is written: its shuffle files go when it ends, Arrow batches are bounded in bytes,
+#: and partitions are joined up to the advisory size, so small tables are few files.
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 

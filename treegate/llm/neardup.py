@@ -163,11 +163,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = work.write(whole.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "member")
     # bands of class representatives; a repeated doc_id keeps each of its texts
     reps = whole.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-    banded = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    full = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    bucket = work.write(banded.join(full, "key").select("key", "band", "centre", "members", "rep", "n_shingles"), "bucket")
-
-    star = work.write(bucket.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    banded = reps.select("rep", F.explode("bands").alias("key"))  # a band's number is in its key
+    full = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre < last").drop("last")
+    star = work.write(banded.join(full, "key").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "star")
     wanted = work.write(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = work.write(likely(docs, wanted, "doc_id").join(wanted, "doc_id", "left_semi").mapInArrow(_set_maker(k), "doc_id long, elements binary"), "sets")
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treegate.llm import kernels as K
-from treegate.llm.common import Workspace, partitions
+from treegate.llm.common import Workspace
 
 LENGTH, ANCHOR, BLOCK = 200, 64, 16
 #: Bytes of one text looked at together; longer texts overlap by ``length`` - 1.
@@ -155,9 +155,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _round(suffixes: DataFrame, work: Workspace, name: str) -> DataFrame:
     """One sort: (status, rid, pack, ...) of suffixes whose neighbour agrees, see :func:`_neighbours`."""
-    spark = work.spark
     order = ["key", "sub", "rid", "pack"]
-    dealt = suffixes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     columns = ", ".join(f"{c} long" for c in suffixes.columns)
     marked = work.write(dealt.mapInArrow(_neighbours, f"{columns}, status int, edge int, near int, part int"), name)
     rest = [c for c in suffixes.columns if c not in ("key", "sub")]
