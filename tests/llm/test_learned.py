@@ -1,0 +1,195 @@
+"""Language identification, quality scores and decision lists: accuracy on held-out rows, and defined results."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from treegate.llm import kernels, langid, quality, rules, textstats
+from treegate.llm.sample import bounded_sample, fold
+
+from .helpers import awkward, by, documents, prose
+
+SYLLABLES = {"en": ["th", "ing", "wh", "and", "er"], "de": ["ung", "sch", "ein", "keit", "ü"], "fr": ["eau", "eux", "le", "é", "tion"], "es": ["ción", "ado", "ñ", "que", "os"]}
+
+
+def speech(rng, lang, words):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(words)) + "."
+
+
+@pytest.fixture(scope="module")
+def languages(spark):
+    rng = random.Random(1)
+    rows = [(i, speech(rng, lang, rng.randrange(3, 60)), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(600))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).cache()
+
+
+def test_languages_of_held_out_rows(languages):
+    model = langid.fit(languages, fold("doc_id", 4) != 2)
+    assert sorted(map(tuple, model.families)) == [("de", "en"), ("es", "fr")] and len(model.pairs) == 2
+    got = langid.identify(languages, model).where(fold("doc_id", 4) == 2).collect()
+    assert len(got) > 100 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_languages_of_awkward_documents(spark, languages):
+    model = langid.fit(languages, F.lit(True))
+    rows = awkward()
+    df = documents(spark, rows, extra=True).drop("score")
+    got = langid.identify(df, model)
+    assert got.columns == [*df.columns, "lang_pred", "score"]
+    found = got.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        none = r.text is None or not any(c.isalpha() for c in r.text)
+        assert (r.lang_pred == "und") is none and (r.score == 0 or not none)
+        assert r.rep == "rep"
+    assert langid.identify(df.where("false"), model).count() == 0
+
+
+def test_a_model_without_languages(spark):
+    empty = documents(spark, [(1, "x")]).where("false")
+    model = langid.fit(empty, F.lit(True))
+    assert [r.lang_pred for r in langid.identify(documents(spark, [(1, "abc"), (2, None)]), model).collect()] == ["und", "und"]
+    one = documents(spark, [(i, "the thing and the other thing") for i in range(30)])
+    assert {r.lang_pred for r in langid.identify(one, langid.fit(one, F.lit(True))).collect()} == {"en"}
+
+
+def test_training_does_not_depend_on_partitioning(languages):
+    a, b = (langid.fit(languages.repartition(n), F.lit(True)) for n in (1, 5))
+    assert (a.weights == b.weights).all() and a.families == b.families
+
+
+def test_bounded_samples(languages):
+    few = bounded_sample(languages, "lang", 20, "doc_id")
+    assert {r.lang: r["count"] for r in few.groupBy("lang").count().collect()} == dict.fromkeys(SYLLABLES, 20)
+    assert {r.doc_id for r in few.collect()} == {r.doc_id for r in bounded_sample(languages.repartition(1), "lang", 20, "doc_id").collect()}
+
+
+# quality
+
+
+def junk(rng, n):
+    return " ".join(w + rng.choice(["***", "$$$", "%%%"]) for w in prose(rng, n).split())
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(700):
+        n = rng.randrange(20, 120)
+        kind = rng.random()
+        text = junk(rng, n) if kind < 0.15 else " ".join([prose(rng, 6)] * 8) if kind < 0.3 else prose(rng, n)
+        rows.append((i, text, int(kind >= 0.3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").cache()
+    return df.select("doc_id", "text"), df.select("doc_id", "quality")
+
+
+def test_scores_of_held_out_rows(graded):
+    docs, labels = graded
+    scored = by(quality.score(docs, quality.fit(docs, labels, fold("doc_id", 5) != 0)))
+    held = by(labels.where(fold("doc_id", 5) == 0))
+    assert np.mean([(scored[i].score >= 0.5) == bool(r.quality) for i, r in held.items()]) > 0.95
+    assert all(0 <= r.score <= 1 for r in scored.values())
+
+
+def test_pairwise_part_is_the_sum_over_pairs():
+    rng = np.random.default_rng(0)
+    model = quality.Model(0.3, rng.normal(size=quality.DENSE + quality.BUCKETS) / 5, rng.normal(size=(quality.DENSE + quality.BUCKETS, quality.RANK)) / 5)
+    texts = [b"one two two three", b"", b"A B\nA B"]
+    buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    dense, at, word, value = quality._features(buf, offs)
+    for i, got in enumerate(model.score(buf, offs)):
+        x = np.concatenate([dense[i], value[at == i]])
+        k = np.concatenate([np.arange(quality.DENSE), quality.DENSE + word[at == i]])
+        z = model.bias + model.w[k] @ x + sum(model.v[k[a]] @ model.v[k[b]] * x[a] * x[b] for a in range(len(x)) for b in range(a))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
+def test_scores_of_awkward_documents(spark, graded):
+    docs, labels = graded
+    model = quality.fit(docs, labels, F.lit(True))
+    rows = awkward()
+    got = quality.score(documents(spark, rows, extra=True), model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 10}) == 1
+    assert quality.score(docs.where("false"), model).count() == 0
+    untaught = quality.fit(docs, labels.where("false"), F.lit(True))
+    assert {round(r.score, 1) for r in quality.score(docs, untaught).collect()} == {0.5}
+
+
+# rules
+
+
+def plain_counts(text):
+    """The contract's statistics, word by word."""
+    import re
+
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    repeated = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeated)}
+
+
+def test_counts_of_single_and_joined_texts():
+    rng = random.Random(9)
+    texts = [t for _, t in awkward() if t is None or len(t) < 9000] + ["a b c d e a b c d e f", "x\n\nx\n x\nx\n", "\n", "é ü\x85z q\x1c", "a a a a a a a", "l1\nl2\nl1", "#*$%&|<>"]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) + rng.choice(["", "\n"]) + prose(rng, 5) for _ in range(60)]
+    data = [(t or "").encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    got, words, row = textstats.counts(buf, offs)
+    for i, t in enumerate(texts):
+        want = plain_counts(t)
+        assert {k: int(got[k][i]) for k in want} == want, t
+    assert len(words) == len(row) == got["n_words"].sum()
+    assert all(len(x) == 0 for x in textstats.counts(buf[:0], np.array([0]))[0].values())
+
+
+def test_rules_of_held_out_rows(graded):
+    docs, labels = graded
+    learned = rules.fit(docs, labels, fold("doc_id", 5) != 0)
+    assert learned and all(c.feature in rules.FEATURES for rule in learned for c in rule)
+    judged = by(rules.judge(docs, learned))
+    held = by(labels.where(fold("doc_id", 5) == 0))
+    assert np.mean([judged[i].kept == bool(r.quality) for i, r in held.items()]) > 0.95
+    assert "case when" in rules.verdict_sql(learned)
+
+
+def test_rules_of_awkward_documents(spark):
+    rows = awkward()
+    got = rules.judge(documents(spark, rows, extra=True), []).collect()
+    want = sorted((str(i), *plain_counts(t).values()) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and r.kept is not r.base_failed
+    assert rules.judge(documents(spark, rows).where("false"), []).count() == 0
+
+
+def test_learned_lists():
+    rng = np.random.default_rng(3)
+    x, y = rng.random(2000), rng.random(2000)
+    bad = ((x > 0.8) & (y > 0.5)) | (y < 0.1)
+    learned = rules.learn_list({"x": x, "y": y}, bad)
+    hit = np.zeros(2000, bool)
+    for rule in learned:
+        hit |= rules._covers(rule, {"x": x, "y": y}, 2000)
+    assert (hit == bad).mean() > 0.97 and len(learned) <= 6
+    assert rules.learn_list({"x": x}, np.zeros(2000, bool)) == []
+    assert rules._tight((rules.Condition("x", False, 0.6), rules.Condition("y", True, 0.1), rules.Condition("x", False, 0.5))) == (rules.Condition("y", True, 0.1), rules.Condition("x", False, 0.5))
+
+
+def test_slices_cover_all_rows():
+    import pyarrow as pa
+
+    texts = ["a" * 400, None, "", "b" * 3000, "c"] * 7
+    batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts)))], names=["text", "n"])
+    seen = []
+    for rows, buf, offs in kernels.slices(batch.slice(2), "text", 1000):
+        for i, n in enumerate(rows.column("n").to_pylist()):
+            assert bytes(buf[offs[i] : offs[i + 1]]).decode() == (texts[n] or "")
+            seen.append(n)
+    assert seen == list(range(2, len(texts)))
