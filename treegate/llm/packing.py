@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from treegate.llm import kernels as K
 from treegate.llm.common import Workspace, partitions
-from treegate.llm.tokens import encoder
+from treegate.llm.tokens import ENCODE_BYTES, encoder
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -91,7 +91,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for rows, _, _ in K.slices(batch, "text"):
+            for rows, _, _ in K.slices(batch, "text", ENCODE_BYTES):
                 texts = [x or "" for x in rows.column("text").to_pylist()]
                 out: list[tuple] = []
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(texts), strict=True):

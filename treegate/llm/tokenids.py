@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from treegate.llm import kernels as K
 from treegate.llm import dac
 from treegate.llm.common import Workspace, partitions
-from treegate.llm.tokens import encoder
+from treegate.llm.tokens import ENCODE_BYTES, encoder
 
 #: Tokens after which a writer starts its next file.
-FILE_TOKENS = 2_000_000
+FILE_TOKENS = 1_000_000
 #: Word pieces that a writer keeps encoded: about 160 MB.
 CACHE_PIECES = 800_000
 
@@ -53,7 +53,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             return row
 
         for batch in batches:
-            for rows, _, _ in K.slices(batch, "text"):
+            for rows, _, _ in K.slices(batch, "text", ENCODE_BYTES):
                 texts = [x or "" for x in rows.column("text").to_pylist()]
                 for doc, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
                     doc_ids.append(doc)

@@ -14,11 +14,14 @@ import os
 import re
 import unicodedata
 from array import array
-from itertools import chain
+from collections import deque
 
 #: Pieces kept by a worker unless asked otherwise (about 80 MB), and the longest piece kept.
 CACHE_PIECES, CACHE_CHARS = 400_000, 64
 
+#: Bytes of text encoded together.
+ENCODE_BYTES = 2_000_000
+
 #: The cutting expressions of the two known tokenizer files.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -47,6 +50,20 @@ def _compiled(rule: str) -> re.Pattern:
     return re.compile(rule.replace("\\p{L}", f"[{_L}]").replace("\\p{N}", f"[{_N}]").replace("(?!\\S)", f"(?![^{_S}])").replace("\\s+", f"[{_S}]+"))
 
 
+class _Pieces(dict):
+    """Ids of pieces met lately. A piece that is asked for and unknown moves over from ``old``, or waits in ``new``."""
+
+    def __init__(self, old: dict[str, bytes]):
+        super().__init__()
+        self.old, self.new = old, []
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self[piece] = self.old.get(piece)
+        if ids is None:
+            self.new.append(piece)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, without special tokens."""
 
@@ -58,10 +75,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        # pieces met lately, and before that: a piece of the older half that is met again moves up
+        # once the younger half is full it becomes the older one, whose pieces stay if they are met again
         self.half = pieces // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young = _Pieces({})
         self.find, self.lower = None, False
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
         if spec.get("post_processor") or spec.get("truncation") or spec.get("padding"):
@@ -84,31 +100,25 @@ class Encoder:
         fast, slow = [], []
         for i, text in enumerate(texts):
             cut = text.lower() if self.lower else text
-            if text.isascii() or not (_OTHER.search(text) or _OTHER.search(cut)):
+            if text.isascii() or not (_OTHER.search(text) or (cut is not text and _OTHER.search(cut))):
                 fast.append(i)
                 pieces.append(self.find(cut))
             else:
                 slow.append(i)
-        distinct = set(chain.from_iterable(pieces))
         known = self.young
-        if len(known) + len(distinct) > self.half:
-            self.old, self.young = known, {}
-            known = self.young
-        new = []
-        for x in distinct:
-            if x not in known:
-                ids = self.old.get(x)
-                if ids is None:
-                    new.append(x)
-                else:
-                    known[x] = ids
-        long = [x for x in new if len(x) > CACHE_CHARS]
-        known.update(zip(new, self._library(new), strict=True))
+        if len(known) > self.half:
+            known.old = {}
+            known = self.young = _Pieces(dict(known))
         get = known.__getitem__
+        for found in pieces:
+            deque(map(get, found), maxlen=0)  # only for what is new
+        new, known.new = known.new, []
+        known.update(zip(new, self._library(new), strict=True))
         for i, found in zip(fast, pieces, strict=True):
             out[i] = b"".join(map(get, found))
-        for x in long:
-            del known[x]
+        for x in new:
+            if len(x) > CACHE_CHARS:
+                del known[x]
         if slow:
             for i, ids in zip(slow, self._library([texts[i] for i in slow]), strict=True):
                 out[i] = ids
