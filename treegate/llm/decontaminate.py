@@ -10,8 +10,8 @@ whose words' greatest impacts, over all items or in a block, sum to less cannot
 item there, which is tested for whole batches of passages at once; in the blocks that
 are left, pivots by the block's maxima decide which items are scored.  What is
 retrieved counts only if the item's
-question (its text up to the last sentence) and answer (the last sentence) overlap the
-passage.
+question (its text up to the last sentence, or all of it if that has under four words)
+and answer (the last sentence) overlap the passage.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ GRAM, BLOCKS, BLOCK_ITEMS = 4, 64, 4
 #: Items of one index; more items make more indexes, each over all texts.
 ITEMS_PER_INDEX = 50_000
 
-#: Words are runs of ASCII letters, digits and non-ASCII bytes; the rest separates them.
+#: Words are runs of ASCII letters, digits and non-ASCII bytes; the rest separates them. Case counts for letters past U+00FF alone.
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 _CODES = K.LOWER.copy()
@@ -46,6 +46,9 @@ _CODES[_BREAK] = 0x20
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and per row the index of its first (length rows + 1)."""
     codes = _CODES[buf]
+    if len(codes):  # À to Þ, but ×, are lower-cased too: in UTF-8 their second byte grows by 32
+        capital = np.flatnonzero((codes[:-1] == 0xC3) & (codes[1:] >= 0x80) & (codes[1:] <= 0x9E) & (codes[1:] != 0x97)) + 1
+        codes[capital] += 0x20
     starts, ends, first = K.word_bounds(codes, offs)
     return K.word_hashes(codes, starts, ends), first
 
@@ -92,9 +95,11 @@ class Index:
                 impacts.append(x)
                 self.maxima[n, d // size] = max(self.maxima[n, d // size], x)
         self.greatest = self.maxima.max(axis=1).astype(float) if len(self.terms) else np.zeros(0)
-        parts = [question_and_answer(r[1]) for r in rows]
-        self.questions = [self._grams(_words_of(q)) for q, _ in parts]
-        self.answers = [np.unique(_words_of(a)) for _, a in parts]
+        parts = [tuple(map(_words_of, question_and_answer(r[1]))) for r in rows]
+        # a part of few words proves nothing: the whole text is the question then
+        parts = [(q, a) if len(q) >= GRAM and len(a) else (r[2], a[:0]) for (q, a), r in zip(parts, rows, strict=True)]
+        self.questions = [self._grams(q) for q, _ in parts]
+        self.answers = [np.unique(a) for _, a in parts]
         # terms by the leading bits of their hash
         self.bits = max(8, min(20, 4 + len(self.terms).bit_length()))
         self.slots = np.searchsorted(self.terms, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(64 - self.bits), side="left") if len(self.terms) else None
