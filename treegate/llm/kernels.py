@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 600_000
 
 _U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15

@@ -22,8 +22,8 @@ from treegate.llm import kernels as K
 from treegate.llm.sample import bounded_sample
 
 BUCKETS = 1 << 16
-#: Training rows of a language, at most.
-PER_LANGUAGE = 600
+#: Training rows of a language, and of all languages, at most.
+PER_LANGUAGE, ALL_ROWS = 600, 12_000
 
 #: Language families by ISO 639 code; any other code is a family of its own.
 FAMILIES = {
@@ -178,9 +178,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, learn: F.Column, per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from at most ``per_language`` rows of each language among those where ``learn`` holds."""
+    """Learns from at most ``per_language`` rows of each language among those where ``learn`` holds, fewer where there are over 20."""
     rows = docs.select("doc_id", "text", "lang", learn.alias("__learn")).where("__learn and lang is not null and lang <> 'und' and octet_length(text) >= 20")
-    sample = bounded_sample(rows.select("doc_id", "text", "lang"), "lang", per_language, "doc_id", "text")
+    languages = rows.select(F.count_distinct("lang")).first()[0]
+    each = min(per_language, max(20, ALL_ROWS // max(1, languages)))
+    sample = bounded_sample(rows.select("doc_id", "text", "lang"), "lang", each, "doc_id", "text")
     got = sample.select("lang", "text").mapInArrow(_features, "lang string, at array<int>, x array<float>").toArrow()
     return train([(y, np.asarray(a), np.asarray(x, np.float64)) for y, a, x in zip(got.column("lang").to_pylist(), got.column("at").to_pylist(), got.column("x").to_pylist(), strict=True)])
 

@@ -20,7 +20,7 @@ from collections import deque
 CACHE_PIECES, CACHE_CHARS = 400_000, 64
 
 #: Bytes of text encoded together.
-ENCODE_BYTES = 2_000_000
+ENCODE_BYTES = 1_000_000
 
 #: The cutting expressions of the two known tokenizer files.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
