@@ -20,8 +20,8 @@ from treegate.llm.tokens import ENCODE_BYTES, encoder
 
 #: Tokens after which a writer starts its next file.
 FILE_TOKENS = 1_000_000
-#: Word pieces that a writer keeps encoded: about 160 MB.
-CACHE_PIECES = 800_000
+#: Word pieces that a writer keeps encoded: about 250 MB.
+CACHE_PIECES = 1_400_000
 
 
 def put(uri: str, data: bytes) -> None:

@@ -14,7 +14,6 @@ import os
 import re
 import unicodedata
 from array import array
-from collections import deque
 
 #: Pieces kept by a worker unless asked otherwise (about 80 MB), and the longest piece kept.
 CACHE_PIECES, CACHE_CHARS = 400_000, 64
@@ -51,16 +50,18 @@ def _compiled(rule: str) -> re.Pattern:
 
 
 class _Pieces(dict):
-    """Ids of pieces met lately. A piece that is asked for and unknown moves over from ``old``, or waits in ``new``."""
+    """Ids of pieces met lately; one that is asked for and unknown moves over from ``old`` or is encoded."""
 
-    def __init__(self, old: dict[str, bytes]):
+    def __init__(self, encode, old: dict[str, bytes]):
         super().__init__()
-        self.old, self.new = old, []
+        self.encode, self.old = encode, old
 
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = self[piece] = self.old.get(piece)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
         if ids is None:
-            self.new.append(piece)
+            ids = self.encode(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
         return ids
 
 
@@ -77,7 +78,7 @@ class Encoder:
             spec = json.load(f)
         # once the younger half is full it becomes the older one, whose pieces stay if they are met again
         self.half = pieces // 2
-        self.young = _Pieces({})
+        self.young = _Pieces(self._piece, {})
         self.find, self.lower = None, False
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
         if spec.get("post_processor") or spec.get("truncation") or spec.get("padding"):
@@ -92,33 +93,23 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.find is None:
             return self._library(texts)
         out: list[bytes | None] = [None] * len(texts)
-        pieces: list[list[str]] = []
-        fast, slow = [], []
+        slow = []
         for i, text in enumerate(texts):
             cut = text.lower() if self.lower else text
             if text.isascii() or not (_OTHER.search(text) or (cut is not text and _OTHER.search(cut))):
-                fast.append(i)
-                pieces.append(self.find(cut))
+                if len(self.young) > self.half:
+                    self.young.old = {}
+                    self.young = _Pieces(self._piece, dict(self.young))
+                out[i] = b"".join(map(self.young.__getitem__, self.find(cut)))
             else:
                 slow.append(i)
-        known = self.young
-        if len(known) > self.half:
-            known.old = {}
-            known = self.young = _Pieces(dict(known))
-        get = known.__getitem__
-        for found in pieces:
-            deque(map(get, found), maxlen=0)  # only for what is new
-        new, known.new = known.new, []
-        known.update(zip(new, self._library(new), strict=True))
-        for i, found in zip(fast, pieces, strict=True):
-            out[i] = b"".join(map(get, found))
-        for x in new:
-            if len(x) > CACHE_CHARS:
-                del known[x]
         if slow:
             for i, ids in zip(slow, self._library([texts[i] for i in slow]), strict=True):
                 out[i] = ids
