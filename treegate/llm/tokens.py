@@ -15,8 +15,8 @@ import re
 import unicodedata
 from array import array
 
-#: Pieces kept by a worker unless asked otherwise (about 80 MB), and the longest piece kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+#: Pieces kept by a worker unless asked otherwise (about 100 MB), and the longest piece kept.
+CACHE_PIECES, CACHE_CHARS = 500_000, 64
 
 #: Bytes of text encoded together.
 ENCODE_BYTES = 1_000_000
@@ -40,8 +40,9 @@ def _ranges(has) -> str:
 _L = _ranges(lambda c: unicodedata.category(c)[0] == "L")
 _N = _ranges(lambda c: unicodedata.category(c)[0] == "N")
 _S = r"\t-\r \u0085 "
-#: Characters that leave the fast way; U+0130 changes length when lower-cased.
-_OTHER = re.compile("[^\\u0000-\\u012f\\u0131-\\u024f]")
+#: Characters that leave the fast way; where texts are lower-cased, those too whose lower case is outside or longer.
+_OTHER = re.compile("[^\\u0000-\\u024f]")
+_OTHER_CASED = re.compile(f"[^{_ranges(lambda c: len(c.lower()) == 1 and ord(c.lower()) < 0x250)}]")
 
 
 def _compiled(rule: str) -> re.Pattern:
@@ -100,14 +101,13 @@ class Encoder:
         if self.find is None:
             return self._library(texts)
         out: list[bytes | None] = [None] * len(texts)
-        slow = []
+        slow, other = [], (_OTHER_CASED if self.lower else _OTHER).search
         for i, text in enumerate(texts):
-            cut = text.lower() if self.lower else text
-            if text.isascii() or not (_OTHER.search(text) or (cut is not text and _OTHER.search(cut))):
+            if text.isascii() or not other(text):
                 if len(self.young) > self.half:
                     self.young.old = {}
                     self.young = _Pieces(self._piece, dict(self.young))
-                out[i] = b"".join(map(self.young.__getitem__, self.find(cut)))
+                out[i] = b"".join(map(self.young.__getitem__, self.find(text.lower() if self.lower else text)))
             else:
                 slow.append(i)
         if slow:
