@@ -32,7 +32,7 @@ from treegate.llm.minhash import FastSimilaritySketch, band_keys
 
 BINS, BAND_ROWS = 128, 4
 #: Members of one block in step 3; a task holds two blocks.
-BLOCK = 512
+BLOCK = 256
 
 
 def _row_sets(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, k: int) -> Iterator[np.ndarray]:
