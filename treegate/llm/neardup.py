@@ -192,6 +192,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     merged = links.unionByName(more)
     last = work.write(connected_components(merged, work, "last"), "last")
 
+    for name in ("classes", "star", "wanted", "sets", "links", "first", "labelled", "more"):
+        work.delete(name)  # what is returned reads the others
+
     whole_of = member.distinct().join(last.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sketched.select("doc_id", "n_shingles").join(whole_of, "doc_id", "left")
     own = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

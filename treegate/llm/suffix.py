@@ -270,7 +270,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     windows = _round(held.mapInArrow(_windows(length), four), work, "windows")
     found.append(windows.where("status in (1, 3)").select("rid", "pack"))
     every = found[0].unionByName(found[1]).unionByName(found[2])
-    return work.write(every.groupBy("rid", tag.alias("tag")).agg(F.collect_list("pack").alias("packs")), "found")
+    out = work.write(every.groupBy("rid", tag.alias("tag")).agg(F.collect_list("pack").alias("packs")), "found")
+    for name in ("regions", "open", "blocks", "windows"):
+        work.delete(name)
+    return out
 
 
 def _removal(length: int, with_text: bool):
