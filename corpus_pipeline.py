@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegate.llm.common import Workspace, without
+from treegate.llm.common import Workspace, likely, without
 from treegate.llm.decontaminate import find_items
 from treegate.llm.langid import fit, identify
 from treegate.llm.neardup import near_duplicates
@@ -32,10 +32,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps one row of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest doc_id.
+
+    Every row counts by itself, also if its doc_id repeats or is null; null ids come last.
+    """
     work = Workspace(spark, "neardup-gone")
-    gone = work.write(near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct(), "gone")
-    return without(docs, gone, "doc_id")
+    # written, so that a row has the same key whenever it is read
+    keyed = work.write(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), k=5, percent=80)
+    linked = work.write(found.where("not kept").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")), "linked")
+    members = linked.unionByName(linked.select(F.col("__group").alias("__key"), "__group").distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    ids = likely(keyed.select("doc_id", "__key"), members, "__key").join(members, "__key")
+    first = ids.groupBy("__group").agg(F.min(order).alias("o")).select(F.col("o.__key").alias("__key"))
+    gone = work.write(members.select("__key").join(first, "__key", "left_anti"), "gone")
+    return without(keyed, gone, "__key").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,23 @@ def test_an_empty_table(spark, folder, tmp_path):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert ORACLES.keys() <= QUERIES.keys()
+
+
+def test_one_row_stays_of_repeated_ids_and_null_id_copies(spark, tmp_path):
+    rng = random.Random(33)
+    texts = [prose(rng, 120) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(0, texts[0]), (0, texts[0])]  # ingested again under one id
+    rows += [(None, texts[1]), (None, texts[1])]  # copies without an id
+    twice = prose(rng, 120)
+    rows += [(None, twice), (None, twice)]  # only copies without an id
+    rows += [(2, prose(rng, 120))]  # one id, two texts
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.minhash_near_dedup(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    want = sorted([*((str(i), t) for i, t in enumerate(texts)), ("None", twice), ("2", rows[-1][1])])
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == want
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in packed if not r.start) == sorted(i for i, _ in want)
