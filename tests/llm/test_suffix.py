@@ -133,3 +133,13 @@ def test_neighbours_over_batches_and_edges(monkeypatch):
                 assert got[i]["status"] == status and got[i]["edge"] == {0: 1, 59: 2}.get(i, 0)
             else:
                 assert i not in got
+
+
+def test_many_rows_with_a_null_or_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "_TAG", 2)
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    rows = [(None if i % 2 else 7, f"{prose(rng, rng.randrange(1, 60))} {passage if i % 3 == 0 else ''} {prose(rng, 60)}") for i in range(120)]
+    check(rows, suffix.repeat_report(documents(spark, rows), 200).collect(), 200)
+    cut = Counter(r.n_removed for r in suffix.remove_repeats(documents(spark, rows)).collect())
+    assert cut == Counter(removed for _, removed, _, _, _ in brute([t for _, t in rows], 200))

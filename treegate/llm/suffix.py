@@ -41,7 +41,7 @@ from treegate.llm.common import Workspace
 LENGTH, ANCHOR, BLOCK = 200, 64, 16
 #: Bytes of one text looked at together; longer texts overlap by ``length`` - 1.
 PIECE = 4_000_000
-_TAG = 17  # bits of a text's hash, which tell rows apart that repeat a doc_id
+_TAG = 17  # further bits of a text's hash, beside the 64 of rid
 _U = np.uint64
 
 
@@ -246,7 +246,11 @@ def covered_spans(n_bytes: int, packs: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << _TAG)).cast("int"))
+    """``docs`` with a row's identity: ``rid``, 64 bits of hash over doc_id and text, and ``tag``, _TAG bits over the text.
+
+    Rows that share it have equal texts, and so the same repeats.
+    """
+    return docs.withColumn("rid", F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), "text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << _TAG)).cast("int"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
