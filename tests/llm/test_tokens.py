@@ -134,3 +134,25 @@ def test_a_plan_uses_up_the_histogram(histogram):
         for n in fill:
             used[n] += times
     assert dict(used) == histogram
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_are_taken_as_the_library_takes_them(path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "<|endoftext|><|endoftext|>x", "<|ENDOFTEXT|> y", "a <| endoftext|> b", "plain words", "é <|endoftext|> 漢字", ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(path).encode(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    if path == BYTE:
+        assert got[0] == [64, 220, 50256, 275]
+
+
+def test_token_ids_and_packing_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a <|endoftext|> b"), (2, "c d"), (3, "<|startoftext|>e<|endoftext|>")]
+    for path, end, got in ((BYTE, 0, tokenids.token_ids(documents(spark, rows), BYTE)), (WORD, 1, packing.pack(documents(spark, rows), WORD, capacity=4096))):
+        fresh = Tokenizer.from_file(path)
+        want = {i: zlib.crc32(np.array([*fresh.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for i, t in rows}
+        assert {r.doc_id: r.ids_crc32 for r in got.collect()} == want

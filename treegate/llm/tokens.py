@@ -3,8 +3,9 @@
 A pre-tokenizer cuts a text into pieces whose ids do not depend on their neighbours.
 Where the tokenizer file has one of the two known cutting rules, and the text stays
 within U+0000-U+024F, the same rule runs here as a compiled expression, and the
-library encodes only pieces that this worker has not met; every other text goes to
-the library whole. Both ways give the same ids (tests compare them).
+library encodes only pieces that this worker has not met; every other text, and every
+text that holds the content of an added token (which the library takes as that token),
+goes to the library whole. Both ways give the same ids (tests compare them).
 """
 
 from __future__ import annotations
@@ -74,16 +75,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # once the younger half is full it becomes the older one, whose pieces stay if they are met again
         self.half = pieces // 2
         self.young = _Pieces(self._piece, {})
         self.find, self.lower = None, False
+        #: what the library may take as an added token, wherever it stands
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
         norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
         if spec.get("post_processor") or spec.get("truncation") or spec.get("padding"):
             return
+        if any(x.get("normalized") or not x["content"] for x in spec.get("added_tokens") or []):
+            return  # these are looked for in the normalised text
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.find = _compiled(BYTE_LEVEL).findall
         elif norm and pre.get("type") == "Sequence":
@@ -103,11 +107,14 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         slow, other = [], (_OTHER_CASED if self.lower else _OTHER).search
         for i, text in enumerate(texts):
-            if text.isascii() or not other(text):
+            low = text.lower() if self.lower else text
+            if any(x in text or x in low for x in self.added):
+                slow.append(i)
+            elif text.isascii() or not other(text):
                 if len(self.young) > self.half:
                     self.young.old = {}
                     self.young = _Pieces(self._piece, dict(self.young))
-                out[i] = b"".join(map(self.young.__getitem__, self.find(text.lower() if self.lower else text)))
+                out[i] = b"".join(map(self.young.__getitem__, self.find(low)))
             else:
                 slow.append(i)
         if slow:
