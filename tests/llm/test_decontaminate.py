@@ -91,3 +91,22 @@ def test_many_indexes_give_what_one_gives(spark, benchmark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS_PER_INDEX", 9)
     many = {r.doc_id: sorted((x.item_id, round(x.score, 9)) for x in r["items"]) for r in D.find_items(df, table).collect()}
     assert {k: [i for i, _ in v] for k, v in many.items()} == {k: [i for i, _ in v] for k, v in one.items()}
+
+
+def test_many_indexes_with_capitals_past_latin_1_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(17)
+    words = ["Œuvre", "Šárka", "Łódź", "Αθήνα", "Москва", "Ñandú", "İzmir"]
+    items = [(i, f"{prose(rng, 12)} {' '.join(rng.sample(words, 3))} {prose(rng, 8)}") for i in range(30)]
+    items += [(3, items[3][1]), (4, prose(rng, 15)), (4, prose(rng, 15)), (50, "?!"), (51, None)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [(i, f"{prose(rng, 20)} {t or ''} {prose(rng, 20)}") for i, (_, t) in enumerate(items)])
+
+    def found():
+        return {r.doc_id: sorted((x.item_id, x.score) for x in r["items"]) for r in D.find_items(docs, table).collect()}
+
+    one = found()
+    assert all(any(i == items[d][0] for i, _ in one[d]) for d in range(33))
+    monkeypatch.setattr(D, "ITEMS_PER_INDEX", 9)
+    many = found()
+    assert {k: [i for i, _ in v] for k, v in many.items()} == {k: [i for i, _ in v] for k, v in one.items()}
+    assert all([s for _, s in many[k]] == pytest.approx([s for _, s in v]) for k, v in one.items())

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treegate.llm import kernels as K
+from treegate.llm.common import Workspace, list_of
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own score; least overlaps of question 4-grams and of answer words.
@@ -208,22 +209,34 @@ _HIT = "struct<item_id: bigint, score: double, question_overlap: double, answer_
 _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item row its part, its number of words and its distinct words' hashes."""
+    for batch in batches:
+        for rows, buf, offs in K.slices(batch, "text"):
+            words, first = _words(buf, offs)
+            terms = [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            flat = K.signed(np.concatenate(terms))
+            yield pa.record_batch([rows.column("part"), pa.array(np.diff(first), pa.int64()), list_of(flat, [len(x) for x in terms], pa.int64())], names=["part", "n_words", "terms"])
+
+
 def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index, or as many as keep each within ITEMS_PER_INDEX items; statistics are of all items."""
+    """One index, or as many as keep each within ITEMS_PER_INDEX items; statistics are of all items, row by row."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     n = items.count()
     if n <= ITEMS_PER_INDEX:
         yield Index([(r.item_id, r.text) for r in items.collect()])
         return
-    words = items.select("item_id", F.posexplode(F.split(F.lower("text"), r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")).alias("at", "word")).where("word <> ''")
-    mean = words.count() / n
-    frequency = words.select("item_id", "word").distinct().groupBy("word").count()
     parts = -(-2 * n // ITEMS_PER_INDEX)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    work = Workspace(benchmark.sparkSession, "items")
+    terms = work.write(dealt.select("part", "text").mapInArrow(_item_terms, "part int, n_words long, terms array<long>"), "terms").where("n_words > 0")
+    total, words = terms.agg(F.count("*"), F.sum("n_words")).first()
+    each = terms.select("part", F.explode("terms").alias("term"))
+    frequency = work.write(each.groupBy("term").agg(F.count("*").alias("n")), "frequency")
     for p in range(parts):
-        own = items.where(part == p)
-        known = words.join(own.select("item_id"), "item_id", "left_semi").select("word").distinct().join(frequency, "word").collect()
-        yield Index([(r.item_id, r.text) for r in own.collect()], {int(_words_of(r.word)[0]): r["count"] for r in known}, n, mean)
+        known = frequency.join(each.where(F.col("part") == p).select("term").distinct(), "term").collect()
+        yield Index([(r.item_id, r.text) for r in dealt.where(F.col("part") == p).collect()], {r.term % 2**64: r.n for r in known}, total, words / total if total else None)
+    work.delete("")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
