@@ -110,3 +110,13 @@ def test_many_indexes_with_capitals_past_latin_1_and_repeated_ids(spark, monkeyp
     many = found()
     assert {k: [i for i, _ in v] for k, v in many.items()} == {k: [i for i, _ in v] for k, v in one.items()}
     assert all([s for _, s in many[k]] == pytest.approx([s for _, s in v]) for k, v in one.items())
+
+
+@pytest.mark.parametrize("size", [50_000, 9])
+def test_items_with_a_null_id_are_found(spark, monkeypatch, size):
+    monkeypatch.setattr(D, "ITEMS_PER_INDEX", size)
+    rng = random.Random(19)
+    items = [(None if i % 2 else i, prose(rng, 20)) for i in range(24)]
+    docs = documents(spark, [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, (_, t) in enumerate(items)])
+    got = {r.doc_id: [x.item_id for x in r["items"]] for r in D.find_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: [k] for i, (k, _) in enumerate(items)}

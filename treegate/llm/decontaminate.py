@@ -68,9 +68,9 @@ def question_and_answer(text: str) -> tuple[str, str]:
 class Index:
     """Items as sorted postings in blocks, with each term's and each block's greatest impact."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int] | None = None, total: int | None = None, mean: float | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[int, int] | None = None, total: int | None = None, mean: float | None = None):
         """``frequency``, ``total``, ``mean``: of all items, where these are some of them."""
-        rows = [(i, t, _words_of(t)) for i, t in sorted(items, key=lambda x: (x[0], x[1]))]
+        rows = [(i, t, _words_of(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
         rows = [r for r in rows if len(r[2])]
         self.ids = [r[0] for r in rows]
         self.longest = max((len(r[2]) for r in rows), default=1)
@@ -221,7 +221,7 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _indexes(benchmark: DataFrame) -> Iterator[Index]:
     """One index, or as many as keep each within ITEMS_PER_INDEX items; statistics are of all items, row by row."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = items.count()
     if n <= ITEMS_PER_INDEX:
         yield Index([(r.item_id, r.text) for r in items.collect()])
@@ -243,9 +243,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """``docs`` with ``items``: the benchmark items that each whole text holds, with scores and overlaps.
 
     ``benchmark``: (item_id, text). Null and empty texts, and texts or items without a
-    word, match nothing; items that repeat an id are items of their own. Rows pass
-    through one by one, so repeated rows, null ids and other columns change nothing;
-    an empty table gives an empty result, an empty benchmark no items.
+    word, match nothing; items that repeat an id, or have a null one (null in the hit),
+    are items of their own. Rows pass through one by one, so repeated rows, null
+    doc_ids and other columns change nothing; an empty table gives an empty result, an
+    empty benchmark no items.
     """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), "text", F.array().cast(f"array<{_HIT}>").alias("items"))
