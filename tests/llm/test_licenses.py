@@ -1,7 +1,10 @@
+import textwrap
+from pathlib import Path
+
 import duckdb
 import pytest
 
-from treegate.llm import licenses
+from treegate.llm import licenses, notices
 
 SCHEMA = "doc_id long, path string, text string"
 MIT, APACHE, GPL = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
@@ -57,3 +60,38 @@ def test_against_sql(spark):
     for c in ("doc_id", "path", "license", "origin"):
         assert got[c].fillna("-").tolist() == want[c].fillna("-").tolist()
     assert got["similarity"].fillna(0).tolist() == pytest.approx(want["similarity"].fillna(0).tolist())
+
+
+def wrapped(text, prefix="", width=70):
+    return "\n".join((prefix + x).rstrip() for part in text.split("\n") for x in [*textwrap.wrap(part, width), ""])
+
+
+GNU = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {1} for more details.
+You should have received a copy of the GNU {1} along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+HEADERS = {
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-3.0": GNU.format(":", "General Public License", ",", 3), "GPL-2.0": GNU.format(";", "General Public License", ";", 2), "LGPL-3.0": GNU.format(":", "Lesser General Public License", ",", 3), "LGPL-2.1": GNU.format(";", "Lesser General Public License", ";", "2.1"), "AGPL-3.0": GNU.format(":", "Affero General Public License", ",", 3),
+    "Apache-2.0": notices.NOTICES[1][1], "MIT": notices._MIT + notices._MIT_END, "BSD-2-Clause": notices._BSD + notices._BSD_END, "BSD-3-Clause": notices._BSD + notices._BSD_THIRD + notices._BSD_END, "ISC": notices._ISC + notices._ISC_END,
+}
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    code = "".join(f"def f{i}(x{i}):\n    return g{i}(x{i}) + h{i}\n" for i in range(60))
+    rows, want = [], {}
+    for name, text in HEADERS.items():
+        for n, source in enumerate((
+            f"#!/usr/bin/env python\n# Copyright (c) 2019 Some Body\n#\n{wrapped(text, '# ')}\nimport x\n{code}",
+            f"/*\n{wrapped('Copyright (C) 2019 Some Body', ' * ')}\n{wrapped(text, ' * ', 64)}\n */\n{code}",
+            f"/*\n{wrapped(text, '    ')}\n*/\n{code}",
+            f"{wrapped(text, '// ').rstrip('/ ' + chr(10))}\n{code}",
+        )):
+            rows.append((len(rows), f"{name}/{n}/x.c", source))
+            want[f"{name}/{n}/x.c"] = (name, "header")
+        rows += [(len(rows), f"{name}/f/LICENSE", f"Copyright (c) 2019 Some Body\n\n{wrapped(text)}"), (len(rows) + 1, f"{name}/f/a/x.c", code)]
+        want |= {f"{name}/f/LICENSE": (name, "file"), f"{name}/f/a/x.c": (name, "inherited")}
+    for p in sorted((Path(licenses.__file__).parent / "licence_texts").glob("*.txt")):
+        rows += [(len(rows), f"full/{p.stem}/{p.name}", p.read_text()), (len(rows) + 1, f"full/{p.stem}/x.c", code)]
+        want |= {f"full/{p.stem}/{p.name}": (p.stem, "file"), f"full/{p.stem}/x.c": (p.stem, "inherited")}
+    _, got = scan(spark, rows)
+    assert {path: x for (_, path), x in got.items()} == want

@@ -1,13 +1,18 @@
 """Licence scans with DataFrame operations alone.
 
 Candidates of a file are its header lines (lines with a word of ``ANCHORS``) and, where
-it has one, its whole text.  Each is a sparse TF-IDF vector: terms are runs of ASCII
+it has one, its whole text, which are held against ``TEMPLATES``, and its header blocks,
+which are held with the whole text against the notices of several lines and the licence
+texts in ``NOTICES``.  A block is a paragraph with such a word, or up to ``WINDOW``
+paragraphs from one that opens a notice; paragraphs end at lines without a letter or
+digit, and once more where comments begin or end.  Each candidate is a sparse TF-IDF vector: terms are runs of ASCII
 letters and digits in lower case, weights are counts times the inverse document
 frequency over the licence templates, and terms that no template has weigh as the
-rarest.  The best cosine to a template of at least ``THRESHOLD`` names the licence.
+rarest.  The best cosine to a template of at least ``THRESHOLD`` names the licence;
+blocks of several lines at ``STRONG`` or above go first, as a line says less.
 
 A file is a licence file if its name is one of ``LICENCE_NAMES`` or its whole text is
-itself close to a template; its licence holds for its directory.  A file without a
+itself close to a template (``WHOLE`` for those of ``NOTICES``); its licence holds for its directory.  A file without a
 licence of its own inherits from the nearest ancestor directory that has one.  Only
 distinct directories are expanded into their ancestors, so a directory with a third of
 all files is one row there.
@@ -18,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.55
+from treegate.llm.notices import NOTICES
+
+THRESHOLD, STRONG, WHOLE, WINDOW = 0.55, 0.75, 0.9, 6
 
 #: Public licence notices, by SPDX identifier; templates of one licence are alternatives.
 TEMPLATES: list[tuple[str, str]] = [
@@ -43,7 +50,12 @@ TEMPLATES: list[tuple[str, str]] = [
 ANCHORS = "(?i)licen[cs]e|copyright|public domain|spdx|permission is hereby|redistribution and use"
 LICENCE_NAMES = ["LICENSE", "LICENSE.md", "LICENSE.txt", "LICENCE", "COPYING", "COPYING.txt", "NOTICE", "UNLICENSE"]
 
+#: What opens a notice of several paragraphs, and a comment line.
+OPENINGS = "(?i)redistribution and use|permission (is hereby|to use)|free and unencumbered|licensed (to|under)|free software"
+COMMENT = r"[ \t]*(?:#|//|/?\*|--|;|%|!|dnl |rem |REM |<!--)"
+
 _CUT = "[^a-z0-9]+"
+_PARAGRAPH = r"\n[^\p{L}\p{N}]*\n"
 
 
 def _terms(text: F.Column) -> F.Column:
@@ -69,7 +81,29 @@ def _templates(spark, templates: list[tuple[str, str]]) -> tuple[DataFrame, Data
     return weighed.join(norms, "template").select("term", "template", (F.col("w") / F.col("norm")).alias("share")), idf, rarest
 
 
-def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _blocks(holding: DataFrame) -> DataFrame:
+    """(doc_id, path, unit): the header blocks of files that mention a licence."""
+    apart = F.regexp_replace(F.regexp_replace("text", rf"(?m)(^{COMMENT}[^\n]*)\n(?!{COMMENT})", "$1\n\n"), rf"(?m)(^(?!{COMMENT})[^\n]+)\n(?={COMMENT})", "$1\n\n")
+    # exploded, so that lambdas read a made array
+    cut = holding.select("doc_id", "path", F.explode(F.array_distinct(F.array(F.split("text", _PARAGRAPH), F.split(apart, _PARAGRAPH)))).alias("parts"))
+    opening = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get("parts", i).rlike(OPENINGS))
+    windows = F.flatten(F.transform(opening, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("parts") - i)), lambda m: F.array_join(F.slice("parts", i + 1, m), "\n"))))
+    return cut.select("doc_id", "path", F.explode(F.array_union(F.filter("parts", lambda x: x.rlike(ANCHORS)), windows)).alias("unit"))
+
+
+def _best(distinct: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, license, similarity) of the candidates (key, unit) that are close to a template."""
+    shares, idf, rarest = _templates(distinct.sparkSession, templates)
+    names = F.create_map(*[x for i, (name, _) in enumerate(templates) for x in (F.lit(i), F.lit(name))])
+    counted = distinct.select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
+    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", rarest))
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(shares), "term").groupBy("key", "template").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    cosine = F.round(F.col("dot") / F.col("norm"), 4)
+    return dots.join(norms, "key").where(cosine >= threshold).groupBy("key").agg(F.min(F.struct((-cosine).alias("minus"), F.element_at(names, F.col("template")).alias("license"))).alias("b")).select("key", "b.license", (-F.col("b.minus")).alias("similarity"))
+
+
+def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """One row per row of ``files`` (doc_id, path, text): (doc_id, path, license, origin, similarity).
 
     origin: ``file`` (a licence file), ``header`` (a notice in the file), ``inherited``
@@ -79,26 +113,25 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     doc_id and path are each returned with the best notice among them. An empty table
     gives an empty result; other columns are not read.
     """
-    spark = files.sparkSession
     rows = files.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    shares, idf, rarest = _templates(spark, templates)
-    names = F.create_map(*[x for i, (name, _) in enumerate(templates) for x in (F.lit(i), F.lit(name))])
 
-    # candidate vectors, of files that mention a licence at all
+    # candidates, of files that mention a licence at all
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(ANCHORS))
     holding = rows.where(F.col("text").rlike(ANCHORS))
-    # equal header lines are one candidate, whatever the number of files that hold them
-    units = holding.select("doc_id", "path", F.explode(F.array_union(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).alias("u")).select("doc_id", "path", "u.whole", F.sha2("u.unit", 256).alias("key"), "u.unit")
-    distinct = units.select("key", "unit").dropDuplicates(["key"])
-    counted = distinct.select("key", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
-    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", rarest))
-    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(shares), "term").groupBy("key", "template").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 4)
-    best = dots.join(norms, "key").where(cosine >= threshold).groupBy("key").agg(F.min(F.struct((-cosine).alias("minus"), F.element_at(names, F.col("template")).alias("license"))).alias("b")).select("key", "b.license", (-F.col("b.minus")).alias("similarity"))
-
-    order = F.struct(F.when(F.col("whole"), 0).otherwise(1).alias("rank"), (-F.col("similarity")).alias("minus"), F.col("license").alias("license"))
-    own = units.select("doc_id", "path", "whole", "key").join(best, "key").groupBy("doc_id", "path").agg(F.min(order).alias("o")).select(F.col("doc_id").alias("__id"), F.col("path").alias("__path"), F.col("o.license").alias("own"), (-F.col("o.minus")).alias("similarity"), (F.col("o.rank") == 0).alias("whole"))
+    # equal candidates are one, whatever the number of files that hold them
+    keyed = lambda df: df.select("doc_id", "path", "whole", F.sha2("unit", 256).alias("key"), "unit")
+    whole = holding.select("doc_id", "path", F.lit(True).alias("whole"), F.col("text").alias("unit"))
+    units = keyed(holding.select("doc_id", "path", F.lit(False).alias("whole"), F.explode(F.array_distinct(lines)).alias("unit")).unionByName(whole))
+    blocks = keyed(_blocks(holding).withColumn("whole", F.lit(False)).unionByName(whole))
+    near = lambda df, against: df.join(_best(df.select("key", "unit").dropDuplicates(["key"]), against, threshold), "key")
+    several = F.col("unit").rlike(r"[\p{L}\p{N}][^\n]*\n[^\p{L}\p{N}]*[\p{L}\p{N}]")
+    strong = (F.col("similarity") >= STRONG) & (F.col("whole") | several)
+    ranked = near(units, templates).withColumn("rank", F.when(F.col("whole"), 1).otherwise(2))
+    noticed = near(blocks, notices).withColumn("rank", F.when(strong, 0).otherwise(2)).withColumn("whole", F.col("whole") & (F.col("similarity") >= WHOLE))
+
+    order = F.struct(F.col("rank").alias("rank"), (-F.col("similarity")).alias("minus"), F.col("license").alias("license"))
+    found = ranked.drop("unit").unionByName(noticed.drop("unit"))
+    own = found.groupBy("doc_id", "path").agg(F.min(order).alias("o"), F.max("whole").alias("whole")).select(F.col("doc_id").alias("__id"), F.col("path").alias("__path"), F.col("o.license").alias("own"), (-F.col("o.minus")).alias("similarity"), "whole")
     named = F.element_at(F.split("path", "/"), -1).isin(LICENCE_NAMES)
     joined = rows.select("doc_id", "path").join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("path").eqNullSafe(F.col("__path")), "left").select("doc_id", "path", "own", "similarity", (F.col("own").isNotNull() & F.coalesce(F.col("whole") | named, F.lit(False))).alias("is_file"), F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
 
