@@ -168,3 +168,54 @@ def test_shapes_over_arrays(frame):
 
 def test_no_shuffle(frame):
     assert "Exchange" not in plan_of(parse('(.a == 1 | ._ == "x")').filter(frame))
+
+
+def _wide(width, sign, name=lambda i: f"c{i}"):
+    return "(" + sign.join(f".{name(i)} == {i}" for i in range(width)) + ")"
+
+
+@pytest.mark.parametrize(
+    ("text", "sql", "pushed"),
+    [
+        (_wide(50, "|", lambda i: "c0"), "c0 between 0 and 49", ["In(c0,[0,1,10,"]),
+        (_wide(10, "&"), " and ".join(f"c{i} = {i}" for i in range(10)), [f"EqualTo(c{i},{i})" for i in range(10)]),
+        (_wide(30, "&"), " and ".join(f"c{i} = {i}" for i in range(30)), [f"EqualTo(c{i},{i})" for i in range(30)]),
+        (_wide(30, "|"), " or ".join(f"c{i} = {i}" for i in range(30)), ["EqualTo(c0,0)", "EqualTo(c29,29)", "Or("]),
+        (f"!({_wide(50, '|', lambda i: 'c0')})", "not coalesce(c0 between 0 and 49, false)", ["Or(Not(In(c0,", "IsNull(c0)"]),
+        (f"!({_wide(30, '&')})", "not coalesce(" + " and ".join(f"c{i} = {i}" for i in range(30)) + ", false)", ["Or(Not(EqualTo(c0,0)),IsNull(c0))"]),
+        ("(" + "&".join(f"._ == {i}" for i in range(12)) + ")", " and ".join(f"array_contains(array({', '.join(f'c{j}' for j in range(30))}), {i})" for i in range(12)), ["EqualTo(c29,11)"]),
+        ("{" + ";".join([f"c{i} == {i}" for i in range(0, 30, 2)] + ["(_:*)*"]) + "}", " and ".join(f"c{i} = {i}" for i in range(0, 30, 2)), ["EqualTo(c0,0)", "EqualTo(c28,28)"]),
+        ("(" + "&".join(f".c0->ge($int, {-i})" for i in range(12)) + "&" + _wide(9, "|", lambda i: "c3") + ")", "c0 >= 0 and c3 between 0 and 8", ["In(c3,"]),
+    ],
+)
+def test_wide_filters_stay_predicates(spark, tmp_path, text, sql, pushed):
+    rng = random.Random(3)
+    rows = [[i if rng.random() < 0.97 else rng.choice([None, 7, 60]) for i in range(30)] for _ in range(200)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(30))).write.parquet(path)
+    df = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "20000")
+    g = parse(text)
+    assert g.plan(df).how == planner.PREDICATE
+    kept = g.filter(df)
+    found = plan_of(kept).split("PushedFilters: [")[1].split("], ReadSchema")[0].replace(" ", "")
+    assert all(p in found for p in pushed), found
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.where(sql).collect()))
+
+
+def test_thousands_of_alternatives(spark):
+    g = parse(_wide(3_000, "|", lambda i: "a"))
+    assert [r.a for r in g.filter(spark.range(5_000).select((F.col("id") + 2_990).cast("int").alias("a"))).collect()] == list(range(2_990, 3_000))
+
+
+def test_a_part_without_predicate_sees_few_rows(frame):
+    library = sample_library()
+    library.register("odd", ["int"], "bool", lambda x: x % 2 == 1)
+    g = parse('(.a->odd($int) & .b == "x")', library)
+    with pytest.warns(planner.PythonPlan, match="odd"):
+        plan = g.plan(frame)
+    assert plan.how == planner.MIXED and "rows go through Python" in g.explain(frame)
+    text = plan_of(frame.filter(plan.column))
+    assert text.index("(b#") < len(text) and [r.n for r in frame.filter(plan.column).collect()] == [0]
+    below = text.split("ArrowEvalPython")[1]
+    assert "= x" in below  # the predicate is under the Python node

@@ -1,18 +1,18 @@
 """A lazily built visibly-pushdown automaton over forests.
 
-A state is a list of distinct patterns, numbered when first met.  Opening a tree moves
-to the state of what its children must match, which depends on the truth of the state's
-label conditions; the state left and the way back go on a stack.  Closing it looks up
-the state that follows, from the state left and the nullability of the patterns reached
-inside.  Both tables fill as records come and are shared by all records of a worker;
-a table over ``LIMIT`` entries starts afresh.  The walk uses its own stack, so depth is
+A state is a list of patterns, numbered when first met.  Opening a tree moves to the
+state of what its children must match, which depends on the truth of the state's label
+conditions; the state left and those truths go on a stack.  Closing it looks up the state
+that follows, from both and from which patterns of the inner state accept.  The tables
+fill as records come and are shared by all records of a worker; tables over ``LIMIT``
+entries start afresh.  The walk uses its own stack, so depth is
 bounded by memory alone, and skips what cannot change an answer.
 """
 
 from __future__ import annotations
 
-from treegate import naive
 from treegate import patterns as P
+from treegate import steps
 from treegate.errors import RecordError
 from treegate.grammar import Grammar
 from treegate.labels import Label, Tree
@@ -29,9 +29,9 @@ class Automaton:
     def _reset(self) -> None:
         self.numbers: dict[tuple[int, ...], int] = {}
         self.states: list[list[Pattern]] = []
-        self.conditions: list[tuple[list[Pattern], list[int], list] | None] = []
-        self.opened: dict[tuple[int, tuple[bool, ...]], tuple[int, tuple[int, ...]]] = {}
-        self.closed: dict[tuple[int, tuple[bool, ...]], int] = {}
+        self.asks: list[tuple[list[tuple[Pattern, ...]], list] | None] = []
+        self.opened: dict[tuple[int, tuple[bool, ...]], tuple[int, tuple[Pattern, ...]]] = {}
+        self.closed: dict[tuple[int, tuple[bool, ...], tuple[bool, ...]], int] = {}
         self.settled: list[bool] = []
         self.bits: list[tuple[bool, ...]] = []
         self.start = self._state([self.grammar.main])
@@ -42,44 +42,38 @@ class Automaton:
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(ps)
-            self.conditions.append(None)
+            self.asks.append(None)
             self.settled.append(all(P.is_settled(p) for p in ps))
             self.bits.append(tuple(p.nullable for p in ps))
         return number
 
-    def _conditions(self, state: int):
-        """Nodes of the state's patterns, how many each pattern has, and the distinct conditions."""
-        found = self.conditions[state]
+    def _asks(self, state: int):
+        """The nodes that each pattern of the state asks, and their distinct conditions."""
+        found = self.asks[state]
         if found is None:
-            wanted = [naive.calls(self.grammar, p) for p in self.states[state]]
-            nodes = [n for ns in wanted for n in ns]
-            found = self.conditions[state] = (nodes, [len(ns) for ns in wanted], list(dict.fromkeys(n.expr for n in nodes)))
+            nodes = [steps.asked(self.grammar, p) for p in self.states[state]]
+            found = self.asks[state] = (nodes, list(dict.fromkeys(n.expr for ns in nodes for n in ns)))
         return found
 
-    def open(self, state: int, label: Label) -> tuple[int, tuple[int, ...]]:
-        """The state for the children, and where each node's answer stands in it."""
-        nodes, _, conditions = self._conditions(state)
-        truths = tuple(bool(e.eval(label)) for e in conditions)
-        key = (state, truths)
-        found = self.opened.get(key)
+    def open(self, state: int, label: Label) -> tuple[int, tuple[bool, ...]]:
+        """The state for the children, and the truths of the state's conditions."""
+        nodes, conditions = self._asks(state)
+        truths = tuple([bool(e.eval(label)) for e in conditions])
+        found = self.opened.get((state, truths))
         if found is None:
             true = dict(zip(conditions, truths, strict=True))
-            kept, places = naive.compress([n.parts[0] if true[n.expr] else P.NONE for n in nodes])
-            found = self.opened[key] = (self._state(kept), tuple(places))
-        return found
+            inside = dict.fromkeys(n.parts[0] for ns in nodes for n in ns if true[n.expr] and not P.is_settled(n.parts[0]))
+            found = self.opened[state, truths] = (self._state(list(inside)), tuple(inside))
+        return found[0], truths
 
-    def close(self, state: int, places: tuple[int, ...], inside: int) -> int:
+    def close(self, state: int, truths: tuple[bool, ...], inside: int) -> int:
         """The state after the tree."""
-        bits = tuple(naive.expand(self.bits[inside], places))
-        key = (state, bits)
+        key = (state, truths, self.bits[inside])
         found = self.closed.get(key)
         if found is None:
-            _, sizes, _ = self._conditions(state)
-            out, i = [], 0
-            for p, n in zip(self.states[state], sizes, strict=True):
-                out.append(naive.returns(self.grammar, p, list(bits[i : i + n])))
-                i += n
-            found = self.closed[key] = self._state(out)
+            true = dict(zip(self._asks(state)[1], truths, strict=True))
+            accepted = dict(zip(self.opened[state, truths][1], self.bits[inside], strict=True)) | {P.ANY: True, P.NONE: False}
+            found = self.closed[key] = self._state([steps.follow(self.grammar, p, lambda n: true[n.expr] and accepted[n.parts[0]]) for p in self.states[state]])
         return found
 
     def run(self, forest: list[Tree]) -> Pattern:
@@ -87,19 +81,19 @@ class Automaton:
         if len(self.opened) + len(self.closed) > LIMIT:
             self._reset()
         state = self.start
-        stack: list[tuple[int, tuple[int, ...], list[Tree], int]] = []
+        stack: list[tuple[int, tuple[bool, ...], list[Tree], int]] = []
         trees, i = forest, 0
         while True:
             if i < len(trees) and not self.settled[state]:
                 label, children = trees[i]
-                inside, places = self.open(state, label)
-                stack.append((state, places, trees, i + 1))
+                inside, truths = self.open(state, label)
+                stack.append((state, truths, trees, i + 1))
                 state, trees, i = inside, children, 0
                 continue
             if not stack:
                 return self.states[state][0]
-            before, places, trees, i = stack.pop()
-            state = self.close(before, places, state)
+            before, truths, trees, i = stack.pop()
+            state = self.close(before, truths, state)
 
     def accepts(self, forest: list[Tree]) -> bool:
         try:

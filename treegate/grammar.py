@@ -114,18 +114,25 @@ class Grammar:
         """A digest of the text, by which workers keep automata."""
         return hashlib.sha256(str(self).encode()).hexdigest()
 
-    def is_recursive(self) -> bool:
-        """Whether some production reaches itself (below a node)."""
+    def _named(self) -> dict[str, set[str]]:
+        """The names in each production."""
+        out = {}
+        for name, p in self.productions.items():
+            out[name], todo = set(), [p]
+            while todo:
+                q = todo.pop()
+                todo.extend(q.parts)
+                if q.op == "ref":
+                    out[name].add(q.name)
+        return out
 
-        def reached(p: Pattern, seen: set[str]) -> set[str]:
-            out = set()
-            if p.op == "ref":
-                out.add(p.name)
-            for q in p.parts:
-                out |= reached(q, seen)
-            return out
+    def names_main(self) -> bool:
+        """Whether a production refers to ``main``."""
+        return any("main" in names for names in self._named().values())
 
-        direct = {name: reached(p, set()) for name, p in self.productions.items()}
+    def is_recursive(self) -> bool:
+        """Whether some production reaches itself (below a node)."""
+        direct = self._named()
         for name in direct:
             seen, todo = set(), set(direct[name])
             while todo:

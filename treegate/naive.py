@@ -1,140 +1,86 @@
 """Derivatives of patterns, straight from their definition: the oracle that the engines are tested against.
 
-The derivative of a pattern by a tree accepts what may follow that tree.  ``derive``
-takes every tree of a forest in turn; ``zip_derive`` does so over lists of distinct,
-unsettled patterns.  Both raise :class:`RecordError` for a label that cannot be read.
+The derivative of a pattern by a tree accepts what may follow that tree.  A node takes
+a tree if its expression holds for the label and its own pattern accepts the children,
+which is asked right there, by derivatives of their own.  No engine uses this module.
+Both functions raise :class:`RecordError` for a label that cannot be read.
 """
 
 from __future__ import annotations
 
 from treegate import patterns as P
-from treegate.functions.expr import Expr
+from treegate.errors import RecordError
 from treegate.grammar import Grammar
-from treegate.labels import Label, Tree
+from treegate.labels import Tree
 from treegate.patterns import Pattern
 
 
-def calls(g: Grammar, p: Pattern) -> list[Pattern]:
-    """The nodes that a next tree may be, left to right."""
-    match p.op:
-        case "empty" | "any":
-            return []
-        case "node":
-            return [p]
-        case "concat":
-            return calls(g, p.parts[0]) + (calls(g, p.parts[1]) if p.parts[0].nullable else [])
-        case "ref":
-            return calls(g, g.productions[p.name])
-    return [c for q in p.parts for c in calls(g, q)]
-
-
-def child_patterns(nodes: list[Pattern], label: Label) -> list[Pattern]:
-    """What each node asks of the children of a tree with this label; equal conditions are read once."""
-    read: dict[Expr, bool] = {}
-    out = []
-    for n in nodes:
-        if n.expr not in read:
-            read[n.expr] = bool(n.expr.eval(label))
-        out.append(n.parts[0] if read[n.expr] else P.NONE)
-    return out
-
-
-def remove_one_for_each(items: list) -> list[list]:
-    return [items[:i] + items[i + 1 :] for i in range(len(items))]
-
-
-def returns(g: Grammar, p: Pattern, accepted: list[bool]) -> Pattern:
-    """The derivative, given whether each node of ``calls`` took the tree; consumes ``accepted``."""
-    match p.op:
-        case "empty":
-            return P.NONE
-        case "any":
-            return P.ANY
-        case "node":
-            return P.EMPTY if accepted.pop(0) else P.NONE
-        case "concat":
-            left, right = p.parts
-            first = P.concat(returns(g, left, accepted), right)
-            return P.union([first, returns(g, right, accepted)]) if left.nullable else first
-        case "or":
-            return P.union([returns(g, q, accepted) for q in p.parts])
-        case "and":
-            return P.intersection([returns(g, q, accepted) for q in p.parts])
-        case "interleave":
-            after = [returns(g, q, accepted) for q in p.parts]
-            return P.union([P.interleave([d, *rest]) for d, rest in zip(after, remove_one_for_each(list(p.parts)), strict=True)])
-        case "star":
-            return P.concat(returns(g, p.parts[0], accepted), p)
-        case "optional":
-            return returns(g, p.parts[0], accepted)
-        case "contains":
-            return P.union([p, P.contains(returns(g, p.parts[0], accepted))])
-        case "not":
-            return P.negate(returns(g, p.parts[0], accepted))
-    return returns(g, g.productions[p.name], accepted)
-
-
-def _step(g: Grammar, ps: list[Pattern], tree: Tree) -> list[Pattern]:
-    if all(P.is_settled(p) for p in ps):
-        return ps
-    label, children = tree
-    wanted = [calls(g, p) for p in ps]
-    inside = child_patterns([n for nodes in wanted for n in nodes], label)
-    for child in children:
-        inside = _step(g, inside, child)
-    bits = [p.nullable for p in inside]
-    out, i = [], 0
-    for p, nodes in zip(ps, wanted, strict=True):
-        out.append(returns(g, p, bits[i : i + len(nodes)]))
-        i += len(nodes)
-    return out
+class _Derivation:
+    """``known``: derivatives by the trees that are open, by pattern and tree; None: nothing is kept."""
+
+    def __init__(self, g: Grammar, known: dict[tuple[Pattern, int], Pattern] | None):
+        self.g, self.known = g, known
+
+    def forest(self, p: Pattern, trees: list[Tree]) -> Pattern:
+        for tree in trees:
+            if P.is_settled(p):
+                break
+            p = self.tree(p, tree)
+        return p
+
+    def tree(self, p: Pattern, tree: Tree) -> Pattern:
+        if self.known is None:
+            return self.plain(p, tree)
+        key = (p, id(tree))
+        if key not in self.known:
+            self.known[key] = self.plain(p, tree)
+        return self.known[key]
+
+    def plain(self, p: Pattern, tree: Tree) -> Pattern:
+        match p.op:
+            case "empty":
+                return P.NONE
+            case "any":
+                return P.ANY
+            case "node":
+                label, children = tree
+                return P.EMPTY if p.expr.eval(label) and self.forest(p.parts[0], children).nullable else P.NONE
+            case "ref":
+                return self.tree(self.g.productions[p.name], tree)
+            case "not":
+                return P.negate(self.tree(p.parts[0], tree))
+            case "optional":
+                return self.tree(p.parts[0], tree)
+            case "star":
+                return P.concat(self.tree(p.parts[0], tree), p)
+            case "contains":  # the tree is part of what is looked for, or stands in a gap
+                return P.union([P.contains(self.tree(p.parts[0], tree)), p])
+            case "or":
+                return P.union([self.tree(q, tree) for q in p.parts])
+            case "and":
+                return P.intersection([self.tree(q, tree) for q in p.parts])
+            case "concat":
+                head, tail = p.parts
+                ways = [P.concat(self.tree(head, tree), tail)]
+                if head.nullable:
+                    ways.append(self.tree(tail, tree))
+                return P.union(ways)
+        # interleave: the tree belongs to one of the parts, the others wait
+        return P.union([P.interleave([*p.parts[:i], self.tree(q, tree), *p.parts[i + 1 :]]) for i, q in enumerate(p.parts)])
 
 
 def derive(g: Grammar, forest: list[Tree]) -> Pattern:
-    ps = [g.main]
-    for tree in forest:
-        ps = _step(g, ps, tree)
-    return ps[0]
+    """The residual pattern of a record."""
+    return _Derivation(g, None).forest(g.main, forest)
 
 
-def compress(ps: list[Pattern]) -> tuple[list[Pattern], list[int]]:
-    """Distinct unsettled patterns in order, and where each stands: its place, -1 for ``*``, -2 for ``!(*)``."""
-    kept = sorted({p.serial: p for p in ps if not P.is_settled(p)}.values(), key=lambda p: p.serial)
-    place = {p.serial: i for i, p in enumerate(kept)} | {P.ANY.serial: -1, P.NONE.serial: -2}
-    return kept, [place[p.serial] for p in ps]
-
-
-def expand(bits: list[bool], places: list[int]) -> list[bool]:
-    return [bits[i] if i >= 0 else i == -1 for i in places]
-
-
-def _zip_step(g: Grammar, ps: list[Pattern], tree: Tree) -> list[Pattern]:
-    if all(P.is_settled(p) for p in ps):
-        return ps
-    label, children = tree
-    wanted = [calls(g, p) for p in ps]
-    inside, places = compress(child_patterns([n for nodes in wanted for n in nodes], label))
-    for child in children:
-        inside = _zip_step(g, inside, child)
-    bits = expand([p.nullable for p in inside], places)
-    out, i = [], 0
-    for p, nodes in zip(ps, wanted, strict=True):
-        out.append(returns(g, p, bits[i : i + len(nodes)]))
-        i += len(nodes)
-    return out
-
-
-def zip_derive(g: Grammar, forest: list[Tree]) -> Pattern:
-    ps = [g.main]
-    for tree in forest:
-        ps = _zip_step(g, ps, tree)
-    return ps[0]
+def shared_derive(g: Grammar, forest: list[Tree]) -> Pattern:
+    """As :func:`derive`; equal patterns that meet one tree are derived once."""
+    return _Derivation(g, {}).forest(g.main, forest)
 
 
 def accepts(g: Grammar, forest: list[Tree]) -> bool:
     """Whether the record is accepted; an unreadable label rejects it."""
-    from treegate.errors import RecordError
-
     try:
         return derive(g, forest).nullable
     except RecordError:

@@ -51,7 +51,8 @@ class Grammar:
     def explain(self, df: DataFrame, on: str | None = None, format: str | None = None, **options: Any) -> str:
         """How the grammar runs over the frame, and its condition."""
         plan = self.plan(df, on, format, **options)
-        return f"{self}\n{plan.how}{f' ({plan.why})' if plan.why else ''}: {plan.column}"
+        python = "" if plan.how == planner.PREDICATE else f" (rows go through Python: {plan.why})"
+        return f"{self}\n{plan.how}{python}: {plan.column}"
 
     def accepts(self, forest: list[Tree]) -> bool:
         """Whether one record, given as a forest, is accepted; runs on the driver."""

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: The diagram's leaves.
 FALSE, TRUE = 0, 1
+#: Equalities with one column that make a list.
+LISTED = 3
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,7 @@ class Atom:
     build: Callable[[], Column]
     negated: Callable[[], Column]
     implies_present: Any = None  # key of the null test that this atom excludes
+    member: tuple[Any, Column, Any] | None = None  # (key, column, value) of an equality: several become one ``isin``
 
 
 class TooLarge(Exception):
@@ -86,30 +89,67 @@ class Diagrams:
     def negate(self, a: int) -> int:
         return self.ite(a, FALSE, TRUE)
 
+    def any(self, fs: list[int]) -> int:
+        """Whether one holds; the deepest first, so a list of new atoms costs a node each."""
+        out = FALSE
+        for f in sorted(fs, key=lambda f: -self.nodes[f][0]):
+            out = self.either(f, out)
+        return out
+
+    def all(self, fs: list[int]) -> int:
+        out = TRUE
+        for f in sorted(fs, key=lambda f: -self.nodes[f][0]):
+            out = self.both(f, out)
+        return out
+
     def column(self, f: int) -> Column:
         """A column that is true where the diagram is; null or false elsewhere."""
         done: dict[int, Column] = {FALSE: F.lit(False), TRUE: F.lit(True)}
 
         def build(f: int) -> Column:
-            if f in done:
-                return done[f]
-            level, low, high = self.nodes[f]
-            atom = self.atoms[level]
-            if (low, high) == (FALSE, TRUE):
-                out = atom.build()
-            elif (low, high) == (TRUE, FALSE):
-                out = atom.negated()
-            elif low == FALSE:
-                out = atom.build() & build(high)
-            elif high == TRUE:
-                out = atom.build() | build(low)
-            elif high == FALSE:
-                out = atom.negated() & build(low)
-            elif low == TRUE:
-                out = atom.negated() | build(high)
-            else:
-                out = (atom.build() & build(high)) | (atom.negated() & build(low))
-            done[f] = out
-            return out
+            if f not in done:
+                _, low, high = self.nodes[f]
+                if TRUE in (low, high):
+                    done[f] = _joined(*self._run(f, TRUE, build), any_of=True)
+                elif FALSE in (low, high):
+                    done[f] = _joined(*self._run(f, FALSE, build), any_of=False)
+                else:
+                    atom = self.atoms[self.nodes[f][0]]
+                    done[f] = (atom.build() & build(high)) | (atom.negated() & build(low))
+            return done[f]
 
         return build(f)
+
+    def _run(self, f: int, end: int, build: Callable[[int], Column]) -> tuple[list[tuple[Atom, bool]], list[Column]]:
+        """The atoms (and whether each must hold) that lead down from a node, each of which ends at a leaf; and what is left."""
+        atoms: list[tuple[Atom, bool]] = []
+        while f > TRUE:
+            level, low, high = self.nodes[f]
+            if end not in (low, high):
+                return atoms, [build(f)]
+            holds = high == end
+            # alternatives end where an atom has its way, conjunctions where it hasn't
+            atoms.append((self.atoms[level], holds == (end == TRUE)))
+            f = low if holds else high
+        return atoms, []
+
+
+def _joined(atoms: list[tuple[Atom, bool]], rest: list[Column], any_of: bool) -> Column:
+    """One column of many, as a balanced tree; equalities of one column that all widen or all narrow it are one list."""
+    lists: dict[Any, list[Atom]] = {}
+    for atom, holds in atoms:
+        if atom.member is not None and holds == any_of:
+            lists.setdefault(atom.member[0], []).append(atom)
+    terms, seen = [], set()
+    for atom, holds in atoms:
+        same = lists.get(atom.member[0], []) if atom.member is not None and holds == any_of else []
+        if len(same) < LISTED:
+            terms.append(atom.build() if holds else atom.negated())
+        elif atom.member[0] not in seen:
+            seen.add(atom.member[0])
+            column, inside = atom.member[1], atom.member[1].isin(*[a.member[2] for a in same])
+            terms.append(inside if holds else ~inside | column.isNull())
+    terms += rest
+    while len(terms) > 1:
+        terms = [(a | b if any_of else a & b) for a, b in zip(terms[::2], terms[1::2], strict=False)] + ([terms[-1]] if len(terms) % 2 else [])
+    return terms[0]

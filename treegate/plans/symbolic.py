@@ -11,6 +11,7 @@ the automaton; as types are known, where that happens is known too.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from decimal import Decimal
 from itertools import product
@@ -20,8 +21,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treegate import naive
 from treegate import patterns as P
+from treegate import steps
 from treegate.errors import GrammarError, RecordError
 from treegate.functions.expr import RAISE, TRUE, Call, Const, Expr, ListOf, Var
 from treegate.functions.stdlib import TABLE, negated_comparison
@@ -32,8 +33,8 @@ from treegate.plans import bdd
 from treegate.plans.bdd import Atom, Diagrams
 from treegate.sources.rows import check_map, scalar_kind
 
-#: Residual patterns of a level, conditions of a field and states of an element automaton, at most.
-PATTERNS, CONDITIONS, STATES = 64, 8, 24
+#: Residual patterns of a level, conditions on a label that may fail and states of an element automaton, at most.
+PATTERNS, CONDITIONS, STATES = 1_000, 8, 24
 
 
 class NoPlan(Exception):
@@ -96,70 +97,210 @@ def _has_user_function(e: Expr) -> bool:
     return isinstance(e, ListOf) and any(map(_has_user_function, e.items))
 
 
+def _unreadable(e: Expr, kind: str) -> bool:
+    """Whether the expression fails on every label of this kind."""
+    if isinstance(e, Var):
+        return e.kind != kind
+    if isinstance(e, ListOf):
+        return any(_unreadable(x, kind) for x in e.items)
+    return isinstance(e, Call) and e.function.on_error == RAISE and any(_unreadable(x, kind) for x in e.args)
+
+
+def _member(e: Expr, path: tuple, column: Column) -> tuple[tuple, Column, Any] | None:
+    """(column's path, column, value) of an equality with a constant that ``isin`` can take over."""
+    if isinstance(e, Call) and e.function.name == "eq" and isinstance(e.args[0], Var) and isinstance(e.args[1], Const):
+        value = e.args[1].value
+        if e.args[0].kind == STRING or (e.args[0].kind == INT and -(2**31) <= value < 2**31):
+            return path, column, value
+    return None
+
+
 class Lowering:
-    """One grammar over one schema."""
+    """One grammar over one schema.
+
+    Where no label can be unreadable (``readable``: what every node of the grammar may
+    meet is known from the types), what is left of a pattern only counts by what it
+    accepts: alternatives, conjunctions and complements are lowered part by part and
+    joined as diagrams, and nodes that no later field can be are dropped at once.
+    Elsewhere a label that is read or not decides, so the pattern is derived as a whole.
+    """
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
+        self.readable = False
 
-    def record(self, schema: T.StructType, column: Callable[[str], Column]) -> tuple[Diagrams, int]:
-        """The diagram of acceptance of a row; ``column`` gives a top-level column."""
+    def record(self, schema: T.StructType, column: Callable[[str], Column], main: Pattern | None = None) -> tuple[Diagrams, int]:
+        """The diagram of acceptance of a row by ``main`` (else the grammar's); ``column`` gives a top-level column."""
+        main = main or self.grammar.main
+        self.readable = not self._may_fail(main, schema, {})
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # diagrams are as deep as they have conditions
         d = Diagrams()
         fields = [(f.name, f.dataType, column(f.name), (f.name,)) for f in schema.fields]
-        accepted, failed = self._fields(d, fields, [self.grammar.main])
+        accepted, failed = self._fields(d, fields, [main])
         return d, d.both(accepted[0], d.negate(failed))
 
+    def _may_fail(self, p: Pattern, kind: T.DataType, known: dict) -> bool:
+        """Whether a label in a forest of this type may be unreadable to some node of the pattern or of a residual."""
+        key = (p, kind)
+        if key not in known:
+            known[key] = False  # a repeat on the way down adds nothing
+            nodes = steps.level(self.grammar, p)
+            if isinstance(kind, T.StructType):
+                known[key] = any(self._may_fail_at(n, (STRING, f.name), f.dataType, known) for f in kind.fields for n in nodes)
+            elif isinstance(kind, (T.ArrayType, T.MapType)):
+                item, label = (kind.valueType, STRING) if isinstance(kind, T.MapType) else (kind.elementType, INT)
+                known[key] = any(_unreadable(n.expr, label) or self._may_fail(n.parts[0], item, known) for n in nodes)
+            else:
+                name = scalar_kind(kind)
+                known[key] = name is not None and any(_unreadable(n.expr, name) for n in nodes)
+        return known[key]
+
+    def _may_fail_at(self, n: Pattern, label: tuple[str, str], kind: T.DataType, known: dict) -> bool:
+        try:
+            return bool(n.expr.eval(label)) and self._may_fail(n.parts[0], kind, known)
+        except RecordError:
+            return True
+
+    def _decided(self, d: Diagrams, p: Pattern, whole: Callable[[Pattern], int]) -> int:
+        """Acceptance of a forest by the parts of a pattern, as far as it is a combination of some; else by ``whole``."""
+        if self.readable:
+            match p.op:
+                case "any":
+                    return bdd.TRUE
+                case "or":
+                    return d.any([self._decided(d, q, whole) for q in p.parts])
+                case "and":
+                    return d.all([self._decided(d, q, whole) for q in p.parts])
+                case "not":
+                    return d.negate(self._decided(d, p.parts[0], whole))
+                case "ref":
+                    return self._decided(d, self.grammar.productions[p.name], whole)
+        return whole(p)
+
+    def _moves(self, d: Diagrams, p: Pattern, took: Callable[[Pattern], int]) -> dict[Pattern, int]:
+        """The patterns that may follow one tree, each with the diagram of when; ``took``: when a node takes the tree."""
+
+        def each(moves: dict[Pattern, int], change: Callable[[Pattern], Pattern]) -> dict[Pattern, int]:
+            out: dict[Pattern, int] = {}
+            for q, how in moves.items():
+                r = change(q)
+                out[r] = d.either(out[r], how) if r in out else how
+            return out
+
+        def cross(ways: list[dict[Pattern, int]], join: Callable[[list[Pattern]], Pattern]) -> dict[Pattern, int]:
+            total = ways[0]
+            for more in ways[1:]:
+                out: dict[Pattern, int] = {}
+                for q, x in total.items():
+                    for r, y in more.items():
+                        how = d.both(x, y)
+                        if how != bdd.FALSE:
+                            both = join([q, r])
+                            out[both] = d.either(out[both], how) if both in out else how
+                total = out
+                if len(total) > PATTERNS:
+                    raise NoPlan("too many residual patterns")
+            return total
+
+        match p.op:
+            case "empty":
+                return {P.NONE: bdd.TRUE}
+            case "any":
+                return {P.ANY: bdd.TRUE}
+            case "node":
+                how = took(p)
+                return {q: x for q, x in ((P.EMPTY, how), (P.NONE, d.negate(how))) if x != bdd.FALSE}
+            case "ref":
+                return self._moves(d, self.grammar.productions[p.name], took)
+            case "not":
+                return each(self._moves(d, p.parts[0], took), P.negate)
+            case "optional":
+                return self._moves(d, p.parts[0], took)
+            case "star":
+                return each(self._moves(d, p.parts[0], took), lambda q: P.concat(q, p))
+            case "contains":
+                return each(self._moves(d, p.parts[0], took), lambda q: P.union([p, P.contains(q)]))
+            case "or":
+                return cross([self._moves(d, q, took) for q in p.parts], P.union)
+            case "and":
+                return cross([self._moves(d, q, took) for q in p.parts], P.intersection)
+            case "concat":
+                head = each(self._moves(d, p.parts[0], took), lambda q: P.concat(q, p.parts[1]))
+                return cross([head, self._moves(d, p.parts[1], took)], P.union) if p.parts[0].nullable else head
+        ways = []
+        for i, part in enumerate(p.parts):
+            rest = [*p.parts[:i], *p.parts[i + 1 :]]
+            ways.append(each(self._moves(d, part, took), lambda q, rest=rest: P.interleave([q, *rest])))
+        return cross(ways, P.union)
+
     # forests of fields: known names, in order
 
     def _fields(self, d: Diagrams, fields: list[tuple[str, T.DataType, Column, tuple]], ps: list[Pattern]) -> tuple[list[int], int]:
         """For each pattern the diagram of its acceptance of the fields, and that of failure."""
-        out, failed = [], bdd.FALSE
-        names = [f[0] for f in fields]
+        names = tuple(f[0] for f in fields)
         if len(set(names)) != len(names):
             raise GrammarError("two columns have one name: rename one")
-        for p in ps:
-            states: dict[Pattern, int] = {p: bdd.TRUE}
-            for name, kind, column, path in fields:
-                after: dict[Pattern, int] = {}
-                for q, condition in states.items():
-                    if P.is_settled(q):
-                        after[q] = d.either(after.get(q, bdd.FALSE), condition)
-                        continue
-                    nodes = naive.calls(self.grammar, q)
-                    try:
-                        inside = naive.child_patterns(nodes, (STRING, name))
-                    except RecordError:
-                        failed = d.either(failed, condition)
-                        continue
-                    bits, wrong = self._value(d, kind, column, path, inside)
-                    failed = d.either(failed, d.both(condition, wrong))
-                    for r, how in self._split(d, q, bits).items():
-                        after[r] = d.either(after.get(r, bdd.FALSE), d.both(condition, how))
-                states = {q: c for q, c in after.items() if c != bdd.FALSE}
-                if len(states) > PATTERNS:
-                    raise NoPlan("too many residual patterns")
-            accepted = bdd.FALSE
+        failed = bdd.FALSE
+
+        def whole(p: Pattern) -> int:
+            nonlocal failed
+            accepted, wrong = self._in_order(d, fields, names, p)
+            failed = d.either(failed, wrong)
+            return accepted
+
+        return [self._decided(d, p, whole) for p in ps], failed
+
+    def _in_order(self, d: Diagrams, fields: list[tuple[str, T.DataType, Column, tuple]], names: tuple[str, ...], p: Pattern) -> tuple[int, int]:
+        failed = bdd.FALSE
+        states: dict[Pattern, int] = {self._pruned(p, names): bdd.TRUE}
+        for i, (name, kind, column, path) in enumerate(fields):
+            after: dict[Pattern, int] = {}
             for q, condition in states.items():
-                if q.nullable:
-                    accepted = d.either(accepted, condition)
-            out.append(accepted)
-        return out, failed
-
-    def _split(self, d: Diagrams, p: Pattern, bits: list[int]) -> dict[Pattern, int]:
-        """The patterns that follow ``p`` and the conditions under which they do."""
-        open_bits = [b for b in dict.fromkeys(bits) if b not in (bdd.FALSE, bdd.TRUE)]
-        if len(open_bits) > CONDITIONS:
-            raise NoPlan("too many conditions on one field")
-        out: dict[Pattern, int] = {}
-        for truths in product((False, True), repeat=len(open_bits)):
-            known = dict(zip(open_bits, truths, strict=True)) | {bdd.FALSE: False, bdd.TRUE: True}
-            how = bdd.TRUE
-            for b, t in zip(open_bits, truths, strict=True):
-                how = d.both(how, b if t else d.negate(b))
-            if how != bdd.FALSE:
-                r = naive.returns(self.grammar, p, [known[b] for b in bits])
-                out[r] = d.either(out.get(r, bdd.FALSE), how)
-        return out
+                if P.is_settled(q):
+                    after[q] = d.either(after.get(q, bdd.FALSE), condition)
+                    continue
+                try:
+                    taken = [n for n in steps.asked(self.grammar, q) if n.expr.eval((STRING, name))]
+                except RecordError:
+                    failed = d.either(failed, condition)
+                    continue
+                inside = list(dict.fromkeys(n.parts[0] for n in taken))
+                bits, wrong = self._value(d, kind, column, path, inside)
+                failed = d.either(failed, d.both(condition, wrong))
+                accepted = dict(zip(inside, bits, strict=True))
+                when = {n: accepted[n.parts[0]] for n in taken}
+                for r, how in self._moves(d, q, lambda n: when.get(n, bdd.FALSE)).items():
+                    r = self._pruned(r, names[i + 1 :])
+                    after[r] = d.either(after.get(r, bdd.FALSE), d.both(condition, how))
+            states = {q: c for q, c in after.items() if c != bdd.FALSE}
+            if len(states) > PATTERNS:
+                raise NoPlan("too many residual patterns")
+        return d.any([condition for q, condition in states.items() if q.nullable]), failed
+
+    def _pruned(self, p: Pattern, names: tuple[str, ...]) -> Pattern:
+        """A pattern that accepts the same forests of some fields of these names, without the nodes that are none of them."""
+        if not self.readable:
+            return p
+        prune = lambda q: self._pruned(q, names)
+        match p.op:
+            case "node":
+                return p if any(p.expr.eval((STRING, n)) for n in names) else P.NONE
+            case "concat":
+                return P.concat(*map(prune, p.parts))
+            case "interleave":
+                return P.interleave(list(map(prune, p.parts)))
+            case "or":
+                return P.union(list(map(prune, p.parts)))
+            case "and":
+                return P.intersection(list(map(prune, p.parts)))
+            case "not":
+                return P.negate(prune(p.parts[0]))
+            case "contains":
+                return P.contains(prune(p.parts[0]))
+            case "star" | "optional":
+                inner = prune(p.parts[0])
+                return P.EMPTY if inner is P.NONE else (P.star if p.op == "star" else P.optional)(inner)
+        return p
 
     # the forest of one value
 
@@ -169,20 +310,13 @@ class Lowering:
             return [bdd.TRUE if p is P.ANY else bdd.FALSE for p in ps], bdd.FALSE
         absent = d.atom(Atom((path, "null"), column.isNull, column.isNotNull))
         empty = [bdd.TRUE if p.nullable else bdd.FALSE for p in ps]
-        conditions = [naive.calls(self.grammar, p) for p in ps]
         if isinstance(kind, T.StructType):
             fields = [(f.name, f.dataType, column.getField(f.name), (*path, f.name)) for f in kind.fields]
             accepted, failed = self._fields(d, fields, ps)
         elif isinstance(kind, (T.ArrayType, T.MapType)):
             accepted, failed = self._elements(d, kind, column, path, ps)
-        elif not any(conditions):
-            # only whether there is a leaf counts
-            accepted, failed = [bdd.TRUE if naive.returns(self.grammar, p, []).nullable else bdd.FALSE for p in ps], bdd.FALSE
         else:
-            name = scalar_kind(kind)
-            if name is None:
-                raise GrammarError(f"column {'.'.join(map(str, path))} is {kind.simpleString()}, which has no label: cast it")
-            accepted, failed = self._leaf(d, name, column, path, ps, conditions)
+            accepted, failed = self._leaf(d, kind, column, path, ps)
         present = d.negate(absent)
         out = []
         for a, e in zip(accepted, empty, strict=True):
@@ -199,25 +333,26 @@ class Lowering:
             f = low
         return f
 
-    def _leaf(self, d: Diagrams, kind: str, column: Column, path: tuple, ps: list[Pattern], conditions: list[list[Pattern]]) -> tuple[list[int], int]:
+    def _leaf(self, d: Diagrams, kind: T.DataType, column: Column, path: tuple, ps: list[Pattern]) -> tuple[list[int], int]:
+        nodes = {p: steps.asked(self.grammar, p) for p in ps}
+        name = scalar_kind(kind)
+        if name is None and any(nodes.values()):
+            raise GrammarError(f"column {'.'.join(map(str, path))} is {kind.simpleString()}, which has no label: cast it")
         truths: dict[Expr, int] = {}
         failed = bdd.FALSE
-        for e in dict.fromkeys(n.expr for nodes in conditions for n in nodes):
+        for e in dict.fromkeys(n.expr for ns in nodes.values() for n in ns):
             try:
-                truths[e] = self._condition(d, e, kind, column, path)
+                truths[e] = self._condition(d, e, name, column, path)
             except Unreadable:
                 failed = bdd.TRUE
         if failed:
             return [bdd.FALSE] * len(ps), failed
-        out = []
-        for p, nodes in zip(ps, conditions, strict=True):
-            bits = [truths[n.expr] if n.parts[0].nullable else bdd.FALSE for n in nodes]
-            accepted = bdd.FALSE
-            for q, how in self._split(d, p, bits).items():
-                if q.nullable:
-                    accepted = d.either(accepted, how)
-            out.append(accepted)
-        return out, failed
+
+        def whole(p: Pattern) -> int:
+            moves = self._moves(d, p, lambda n: truths[n.expr] if n.parts[0].nullable else bdd.FALSE)
+            return d.any([how for q, how in moves.items() if q.nullable])
+
+        return [self._decided(d, p, whole) for p in ps], failed
 
     def _condition(self, d: Diagrams, e: Expr, kind: str, column: Column, path: tuple) -> int:
         """The diagram of an expression over a label; logic in it becomes logic of the diagram."""
@@ -242,25 +377,27 @@ class Lowering:
                 return (other if isinstance(other, Column) else F.lit(other)) | column.isNull()
             return ~F.coalesce(lowered, F.lit(False))
 
-        return d.atom(Atom((path, kind, e), lambda: lowered, negated, path))
+        return d.atom(Atom((path, kind, e), lambda: lowered, negated, path, _member(e, path, column)))
 
     # forests of elements: unknown number, labels by index or key
 
     def _elements(self, d: Diagrams, kind: T.ArrayType | T.MapType, column: Column, path: tuple, ps: list[Pattern]) -> tuple[list[int], int]:
         if isinstance(kind, T.MapType):
             check_map(kind)
-        out, failed = [], bdd.FALSE
-        for p in ps:
+        failed = bdd.FALSE
+
+        def whole(p: Pattern) -> int:
+            nonlocal failed
             if P.is_settled(p):
-                out.append(bdd.TRUE if p is P.ANY else bdd.FALSE)
-                continue
+                return bdd.TRUE if p is P.ANY else bdd.FALSE
             machine = Elements(self, kind, p)
             accept = machine.column(column, lambda s: s >= 0 and machine.states[s].nullable)
-            out.append(d.atom(Atom((path, "elements", p), lambda c=accept: c, lambda c=accept: ~F.coalesce(c, F.lit(False)), path)))
             if machine.fails:
                 wrong = machine.column(column, lambda s: s < 0)
-                failed = d.either(failed, d.atom(Atom((path, "failed", p), lambda c=wrong: c, lambda c=wrong: ~F.coalesce(c, F.lit(False)), path)))
-        return out, failed
+                failed = d.either(failed, d.atom(Atom((path, "failed", p), lambda: wrong, lambda: ~F.coalesce(wrong, F.lit(False)), path)))
+            return d.atom(Atom((path, "elements", p), lambda: accept, lambda: ~F.coalesce(accept, F.lit(False)), path))
+
+        return [self._decided(d, p, whole) for p in ps], failed
 
 
 class Elements:
@@ -299,7 +436,7 @@ class Elements:
         if P.is_settled(p):
             return {p: bdd.TRUE}
         low = self.lowering
-        nodes = naive.calls(low.grammar, p)
+        nodes = steps.asked(low.grammar, p)
         label_kind = STRING if self.is_map else INT
         truths: dict[Expr, int] = {}
         for e in dict.fromkeys(n.expr for n in nodes):
@@ -308,6 +445,9 @@ class Elements:
             except Unreadable:
                 return {None: bdd.TRUE}
         children = list(dict.fromkeys(n.parts[0] for n in nodes))
+        if low.readable:
+            accepted = dict(zip(children, low._value(d, self.item, item, ("__item",), children)[0], strict=True))
+            return low._moves(d, p, lambda n: d.both(truths[n.expr], accepted[n.parts[0]]))
         if len(truths) > CONDITIONS:
             raise NoPlan("too many conditions on one element")
         out: dict[Pattern | None, int] = {}
@@ -325,7 +465,7 @@ class Elements:
             if failed != bdd.FALSE:
                 out[None] = d.either(out.get(None, bdd.FALSE), d.both(how, failed))
             fine = d.both(how, d.negate(failed))
-            for q, then in low._split(d, p, [accepted[n.parts[0]] if known[n.expr] else bdd.FALSE for n in nodes]).items():
+            for q, then in low._moves(d, p, lambda n: accepted[n.parts[0]] if known[n.expr] else bdd.FALSE).items():
                 both = d.both(fine, then)
                 if both != bdd.FALSE:
                     out[q] = d.either(out.get(q, bdd.FALSE), both)
@@ -397,7 +537,7 @@ class Elements:
         return F.exists(pairs, lambda y: moves(y["item"], y["at"])) if ends[1] else F.forall(pairs, lambda y: ~moves(y["item"], y["at"]))
 
     def _names(self) -> list[Expr]:
-        return list(dict.fromkeys(n.expr for n in naive.calls(self.lowering.grammar, self.states[0])))
+        return list(dict.fromkeys(n.expr for n in steps.asked(self.lowering.grammar, self.states[0])))
 
     def _needs_label(self) -> bool:
         return any(not isinstance(e, Const) for e in self._names())
