@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: The diagram's leaves.
 FALSE, TRUE = 0, 1
-#: Equalities with one column that make a list.
-LISTED = 3
+#: Equalities with one column that make a list, and conditions of an expression at most.
+LISTED, TERMS = 3, 5_000
 
 
 @dataclass(frozen=True)
@@ -103,35 +103,101 @@ class Diagrams:
         return out
 
     def column(self, f: int) -> Column:
-        """A column that is true where the diagram is; null or false elsewhere."""
+        """A column that is true where the diagram is; null or false elsewhere.
+
+        Raises :class:`TooLarge` where the expression, which shares nothing, would have over ``TERMS`` conditions.
+        """
+        shapes: dict[int, _Shape] = {}
+        sizes: dict[int, int] = {}
+
+        def measure(x: int | _Shape) -> int:
+            if isinstance(x, _Shape):
+                return len(x.atoms) + sum(map(measure, x.parts))
+            if x <= TRUE:
+                return 1
+            if x not in sizes:
+                shapes[x] = self._shape(x)
+                sizes[x] = measure(shapes[x])
+            return sizes[x]
+
+        if measure(f) > TERMS:
+            raise TooLarge
         done: dict[int, Column] = {FALSE: F.lit(False), TRUE: F.lit(True)}
 
-        def build(f: int) -> Column:
-            if f not in done:
-                _, low, high = self.nodes[f]
-                if TRUE in (low, high):
-                    done[f] = _joined(*self._run(f, TRUE, build), any_of=True)
-                elif FALSE in (low, high):
-                    done[f] = _joined(*self._run(f, FALSE, build), any_of=False)
-                else:
-                    atom = self.atoms[self.nodes[f][0]]
-                    done[f] = (atom.build() & build(high)) | (atom.negated() & build(low))
-            return done[f]
+        def build(x: int | _Shape) -> Column:
+            if isinstance(x, _Shape):
+                return _joined(x.atoms, list(map(build, x.parts)), x.any_of)
+            if x not in done:
+                done[x] = build(shapes[x])
+            return done[x]
 
         return build(f)
 
-    def _run(self, f: int, end: int, build: Callable[[int], Column]) -> tuple[list[tuple[Atom, bool]], list[Column]]:
-        """The atoms (and whether each must hold) that lead down from a node, each of which ends at a leaf; and what is left."""
+    def _shape(self, f: int) -> _Shape:
+        """A node as alternatives or as a conjunction: a run of atoms, two diagrams with no atom in common, or by its own atom."""
+        level, low, high = self.nodes[f]
+        for end in (TRUE, FALSE):
+            if end in (low, high):
+                return self._run(f, end)
+        for end in (TRUE, FALSE):
+            found = self._bottleneck(f, end)
+            if found is not None:
+                return _Shape(end == FALSE, [], [self._replaced(f, found, end, {}), found])
+        atom = self.atoms[level]
+        return _Shape(True, [], [_Shape(False, [(atom, True)], [high]), _Shape(False, [(atom, False)], [low])])
+
+    def _run(self, f: int, end: int) -> _Shape:
+        """The atoms (and whether each must hold) that lead down from a node and each end at one leaf, and what is left."""
         atoms: list[tuple[Atom, bool]] = []
         while f > TRUE:
             level, low, high = self.nodes[f]
             if end not in (low, high):
-                return atoms, [build(f)]
+                return _Shape(end == TRUE, atoms, [f])
             holds = high == end
             # alternatives end where an atom has its way, conjunctions where it hasn't
             atoms.append((self.atoms[level], holds == (end == TRUE)))
             f = low if holds else high
-        return atoms, []
+        return _Shape(end == TRUE, atoms, [])
+
+    def _bottleneck(self, f: int, end: int) -> int | None:
+        """The first node below ``f`` that all ways to the leaf ``end`` go through; None if there is none."""
+        below, todo = {f}, [f]
+        while todo:
+            for x in self.nodes[todo.pop()][1:]:
+                if x > TRUE and x not in below:
+                    below.add(x)
+                    todo.append(x)
+        order = sorted(below, key=lambda x: self.nodes[x][0])
+        ways = {end: 1, 1 - end: 0}
+        for x in reversed(order):
+            ways[x] = ways[self.nodes[x][1]] + ways[self.nodes[x][2]]
+        reach = dict.fromkeys(order, 0) | {f: 1}
+        for x in order:
+            if x != f and reach[x] * ways[x] == ways[f]:
+                return x
+            for y in self.nodes[x][1:]:
+                if y > TRUE:
+                    reach[y] += reach[x]
+        return None
+
+    def _replaced(self, f: int, node: int, leaf: int, done: dict[int, int]) -> int:
+        if f == node:
+            return leaf
+        if f <= TRUE:
+            return f
+        if f not in done:
+            level, low, high = self.nodes[f]
+            done[f] = self._node(level, self._replaced(low, node, leaf, done), self._replaced(high, node, leaf, done))
+        return done[f]
+
+
+@dataclass(frozen=True)
+class _Shape:
+    """Alternatives (``any_of``) or a conjunction of atoms, each of which holds or not, and of nodes or further shapes."""
+
+    any_of: bool
+    atoms: list[tuple[Atom, bool]]
+    parts: list[Any]
 
 
 def _joined(atoms: list[tuple[Atom, bool]], rest: list[Column], any_of: bool) -> Column:
