@@ -10,6 +10,7 @@ from treegate.llm import kernels, langid, quality, rules, textstats
 from treegate.llm.sample import bounded_sample, fold
 
 from .helpers import awkward, by, documents, prose
+from .test_neardup import thue_morse
 
 SYLLABLES = {"en": ["th", "ing", "wh", "and", "er"], "de": ["ung", "sch", "ein", "keit", "ü"], "fr": ["eau", "eux", "le", "é", "tion"], "es": ["ción", "ado", "ñ", "que", "os"]}
 
@@ -138,6 +139,7 @@ def plain_counts(text):
 def test_counts_of_single_and_joined_texts():
     rng = random.Random(9)
     texts = [t for _, t in awkward() if t is None or len(t) < 9000] + ["a b c d e a b c d e f", "x\n\nx\n x\nx\n", "\n", "é ü\x85z q\x1c", "a a a a a a a", "l1\nl2\nl1", "#*$%&|<>"]
+    texts += [f"{one}\n{two}\n{one}" for one, two in [(thue_morse(10), thue_morse(10, "b", "a"))]]  # different lines, alike to a polynomial hash
     texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) + rng.choice(["", "\n"]) + prose(rng, 5) for _ in range(60)]
     data = [(t or "").encode() for t in texts]
     buf, offs = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])

@@ -153,3 +153,29 @@ def test_the_result_is_the_same_over_any_partitioning(spark):
     one = by(neardup.near_duplicates(documents(spark, rows).repartition(1), k=2).where("doc_id is not null"))
     many = by(neardup.near_duplicates(documents(spark, rows).repartition(7), k=2).where("doc_id is not null"))
     assert one == many
+
+
+def thue_morse(n, a="a", b="b"):
+    return a if n == 0 else thue_morse(n - 1, a, b) + thue_morse(n - 1, b, a)
+
+
+def test_words_of_great_regularity_differ(spark):
+    """On such words every polynomial hash modulo 2**64 collides."""
+    for n in (4, 9, 10, 12):
+        one, two = thue_morse(n), thue_morse(n, "b", "a")
+        got = by(neardup.near_duplicates(documents(spark, [one, two, f"{one} {two}", f"{two} {one}"]), k=2))
+        assert [got[i].component_id for i in range(4)] == [0, 1, 2, 3]
+
+
+def test_span_hashes_depend_on_bytes_alone():
+    rng = np.random.default_rng(3)
+    seen = {}
+    for n in [*range(40), 255, 256, 257, 511, 512, 513, 2_000]:
+        word = rng.integers(0, 256, n, dtype=np.uint8)
+        buf = np.concatenate([np.full(3, 9, np.uint8), word, np.full(1, 7, np.uint8), word])
+        a, b = K.span_hashes(buf, np.array([3, 4 + n]), np.array([3 + n, 4 + 2 * n])).tolist()
+        assert a == b and seen.setdefault(a, n) == n
+        for at in range(min(n, 20)):  # every byte counts
+            other = word.copy()
+            other[at] ^= 1
+            assert K.span_hashes(other, np.array([0]), np.array([n]))[0] != a

@@ -1,14 +1,19 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
-Everything works on whole Arrow batches: the UTF-8 buffer of a string column is
-viewed as one ``uint8`` array, words are found by byte masks, and hashes come
-from prefix sums, so no Python loop runs per word.  Batches are cut into slices
-of about ``SLICE_BYTES`` of text (one very long text is a slice of its own), which
-bounds the temporaries of a worker.
+Everything works on whole Arrow batches: the UTF-8 buffer of a string column is viewed
+as one ``uint8`` array, words are found by byte masks and hashed eight bytes at a time,
+so no Python loop runs per word.  Batches are cut into slices of about ``SLICE_BYTES`` of
+text (one very long text is a slice of its own), which bounds the temporaries of a worker.
+
+Two kinds of hashes: ``span_hashes`` of words, lines and strings, in which every eight
+bytes are mixed in a keyed, nonlinear way; and rolling hashes over prefix sums
+(``prefix_hash``), which are polynomials modulo 2**64 and so may agree on different
+strings of great regularity: they only choose places, never say that strings are equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -84,6 +89,38 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(h + (ends - starts).astype(np.uint64) * _U64(_MULT))
 
 
+#: Spans over this many bytes are hashed one by one.
+_LONG = 512
+_KEYS = _rng.integers(0, 2**64, 2 + _LONG // 8, dtype=np.uint64) | np.uint64(1)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [starts, ends); equal bytes hash alike at any place."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * _U64(_MULT) ^ _KEYS[0])
+    far = np.flatnonzero(left > _LONG)
+    at, live = starts, np.arange(len(starts))
+    if len(far):
+        data = memoryview(np.ascontiguousarray(buf))
+        for i in far.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        live = np.flatnonzero(left <= _LONG)
+        at, left = starts[live], left[live]
+    turn = 1
+    while len(live):
+        word = eight[at]
+        short = left < 8
+        if short.any():
+            word[short] &= (_U64(1) << (left[short] * 8).astype(np.uint64)) - _U64(1)
+        out[live] = mix((out[live] ^ word) * _KEYS[turn])
+        more = left > 8
+        live, at, left, turn = live[more], at[more] + 8, left[more] - 8, turn + 1
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its row offsets (length rows + 1); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,7 +167,7 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    return range_hash(prefix_hash(LOWER[buf] if lower else buf), starts, ends)
+    return span_hashes(LOWER[buf] if lower else buf, starts, ends)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

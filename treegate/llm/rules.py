@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treegate.llm import kernels as K
 from treegate.llm import textstats
@@ -148,8 +149,8 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
     """The counts of every whole text (null: no words) beside the columns ``keep``."""
     rows = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_counter, f"{schema}, " + ", ".join(f"{c} long" for c in textstats.COUNTS))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), *(T.StructField(c, T.LongType()) for c in textstats.COUNTS)])
+    return rows.mapInArrow(_counter, schema)
 
 
 def _with_features(counts: DataFrame) -> DataFrame:

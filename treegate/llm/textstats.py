@@ -37,8 +37,7 @@ def counts(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], np
     """
     n = len(offs) - 1
     starts, ends, first = K.word_bounds(buf, offs)
-    prefix = K.prefix_hash(buf)
-    words = K.range_hash(prefix, starts, ends)
+    words = K.span_hashes(buf, starts, ends)
     row = np.repeat(np.arange(n), np.diff(first))
     salt = K.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     out = {"n_words": np.diff(first)}
@@ -53,7 +52,7 @@ def counts(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], np
     line_end = np.minimum(np.append(line_start[1:], len(buf)), offs[line_row + 1]) if len(line_start) else line_start
     line_end = line_end - ((line_end > line_start) & (buf[np.maximum(line_end - 1, 0)] == 0x0A)) if len(line_start) else line_end
     filled = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
-    line_row, lines = line_row[filled], K.range_hash(prefix, line_start[filled], line_end[filled])
+    line_row, lines = line_row[filled], K.span_hashes(buf, line_start[filled], line_end[filled])
     _, at = np.unique(K.mix(lines ^ salt[line_row]), return_index=True)
     out["n_lines"] = np.bincount(line_row, minlength=n)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(line_row[at], minlength=n)
