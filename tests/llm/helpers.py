@@ -22,8 +22,8 @@ def documents(spark, texts, extra=False):
     rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], SCHEMA)
     if extra:
-        names = ["key", "rep", "label", "bands", "length", "rank", "word", "words", "band", "score", "start", "file", "a", "b", "path", "features", "kept", "component_id", "piece", "offset"]
-        df = df.selectExpr("*", *[f"'{n}' as {n}" for n in names])
+        names = ["key", "rep", "label", "bands", "length", "rank", "word", "words", "band", "score", "start", "file", "a", "b", "path", "features", "kept", "component_id", "piece", "offset", "items", "found", "row", "n_removed", "packs", "missing", "lang_pred", "sure", "_", "__key", "a b", "c`d"]
+        df = df.selectExpr("*", *["'{}' as `{}`".format(n, n.replace("`", "``")) for n in names])
     return df
 
 

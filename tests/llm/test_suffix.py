@@ -86,7 +86,8 @@ def test_cut_texts_stay_whole_characters(spark):
     rows = [(0, "ä" + passage + "ö"), (1, "ü" + passage + "ß end"), (2, None), (3, "short"), (4, prose(rng, 60))]
     df = documents(spark, rows, extra=True)
     got = {r.doc_id: r for r in suffix.remove_repeats(df).collect()}
-    assert suffix.remove_repeats(df).columns == [*df.columns, "n_removed"]
+    assert suffix.remove_repeats(df).columns == [*(c for c in df.columns if c != "n_removed"), "n_removed"]  # the given one gives way
+    assert suffix.remove_repeats(df, into="cut").columns == [*df.columns, "cut"]
     for (i, text), (_, removed, _, _, kept) in zip(rows, brute([t for _, t in rows], 200), strict=True):
         assert got[i].n_removed == removed
         assert got[i].text == (None if text is None else got[i].text)
@@ -121,7 +122,7 @@ def test_neighbours_over_batches_and_edges(monkeypatch):
     rng = np.random.default_rng(5)
     keys = np.sort(rng.integers(0, 12, 60))
     subs = np.concatenate([np.sort(rng.integers(0, 3, (keys == k).sum())) for k in range(12)])
-    table = {"key": keys, "sub": subs, "rid": np.arange(60), "pack": np.arange(60)}
+    table = {"key": pa.array([bytes([7, k, 255 - k]) for k in keys], pa.binary()), "sub": subs, "rid": np.arange(60), "pack": np.arange(60)}
     for cuts in ([60], [1, 2, 30, 60], list(range(1, 61))):
         batches = [pa.record_batch([pa.array(v[a:b]) for v in table.values()], names=list(table)) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         got = {r["rid"]: r for b in suffix._neighbours(iter(batches)) for r in b.to_pylist()}
@@ -143,3 +144,14 @@ def test_many_rows_with_a_null_or_one_hot_id(spark, monkeypatch):
     check(rows, suffix.repeat_report(documents(spark, rows), 200).collect(), 200)
     cut = Counter(r.n_removed for r in suffix.remove_repeats(documents(spark, rows)).collect())
     assert cut == Counter(removed for _, removed, _, _, _ in brute([t for _, t in rows], 200))
+
+
+def test_suffixes_are_in_byte_order(spark):
+    """Partition after partition, the anchors' leading bytes ascend."""
+    rows = corpus(random.Random(9), 40)
+    marked = suffix._marked(documents(spark, rows).select("doc_id", "text")).select("rid", "tag", "text").where("octet_length(text) >= 200")
+    found = marked.mapInArrow(suffix._regions(200, suffix.ANCHOR), "key binary, sub long, rid long, pack long")
+    keys = [bytes(r.key) for r in found.repartitionByRange(3, "key", "sub", "rid", "pack").sortWithinPartitions("key", "sub", "rid", "pack").collect()]
+    assert keys == sorted(keys) and {len(k) for k in keys} == {suffix.ANCHOR}
+    data = {t.encode() for _, t in rows}
+    assert all(any(k in d for d in data) for k in keys)

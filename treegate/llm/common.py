@@ -72,6 +72,30 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, or one like it that no column has."""
+    while name.lower() in {x.lower() for x in taken}:
+        name = f"_{name}"
+    return name
+
+
+def carried(docs: DataFrame, *into: str) -> tuple[list[str], DataFrame]:
+    """The columns that stay beside new ones named ``into``, and ``docs`` as (row, text): all other columns in one struct."""
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in into}]
+    rest = [F.col(quoted(c)).alias(c) for c in names if c != "text"]
+    return names, docs.select(F.struct(*rest, F.lit(0).alias(unused("_", names))).alias("row"), "text")  # a struct needs a field
+
+
+def unpacked(names: list[str], text: F.Column | None = None) -> list[F.Column]:
+    """The columns of :func:`carried` again, from ``row`` and ``text``."""
+    return [(F.col("text") if text is None else text).alias("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treegate.llm import kernels as K
+from treegate.llm.common import carried, unpacked
 from treegate.llm.sample import bounded_sample
 
 BUCKETS = 1 << 16
@@ -187,25 +189,23 @@ def fit(docs: DataFrame, learn: F.Column, per_language: int = PER_LANGUAGE) -> M
     return train([(y, np.asarray(a), np.asarray(x, np.float64)) for y, a, x in zip(got.column("lang").to_pylist(), got.column("at").to_pylist(), got.column("x").to_pylist(), strict=True)])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with lang_pred (a learned language, or ``und`` for null texts and texts without a letter) and score (0 to 1).
 
-    Every whole text is scored; ``und`` has score 0. Other columns pass through, so
-    repeated rows, null ids and clashing names change nothing; an empty table gives
-    an empty result. A model that saw no language predicts ``und``.
+    ``into`` names the two; columns of ``docs`` that have these names give way. Every
+    whole text is scored; ``und`` has score 0. Other columns pass through whatever their
+    names, so repeated rows and null ids change nothing; an empty table gives an empty
+    result. A model that saw no language predicts ``und``.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS rows, a column per classifier: independent of the corpus
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a column per classifier: independent of the corpus
+    names, packed = carried(docs, *into)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.release_caches()
         for batch in batches:
             for rows, buf, offs in K.slices(batch, "text"):
                 lang, sure = shared.value.predict(buf, offs)
-                yield pa.record_batch([*rows.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=[*rows.schema.names, "lang_pred", "score"])
+                yield pa.record_batch([*rows.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=["row", "text", "lang", "sure"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
-    out = packed.mapInArrow(score, f"{fields}, lang_pred string, score double")
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "lang_pred", "score")
+    schema = T.StructType([*packed.schema.fields, T.StructField("lang", T.StringType()), T.StructField("sure", T.DoubleType())])
+    return packed.mapInArrow(score, schema).select(*unpacked(names), F.col("lang").alias(into[0]), F.col("sure").alias(into[1]))

@@ -3,26 +3,29 @@
 A byte goes if a ``length``-byte string over it also starts anywhere else.  Sorting every
 suffix of a corpus moves ``length`` times its bytes, so suffixes are sorted in three
 rounds, each over what the last one left open.  A round is the same: sampled splitters
-range-partition the suffixes by their leading bytes and then by fingerprints of what
-follows, each partition is sorted on those words, and neighbours are compared, across
-partition boundaries too.  As the keys end in the suffix's own place, splitters cut
-inside a group of equal suffixes, so a passage that a third of all documents hold is
-dealt over many tasks.
+range-partition the suffixes by their leading bytes, each partition is sorted in byte
+order, and neighbours are compared, across partition boundaries too.  As the keys end in
+the suffix's own place, splitters cut inside a group of equal suffixes, so a passage that
+a third of all documents hold is dealt over many tasks.
 
 Round 1: every window of ``length`` bytes has an anchor, the leftmost place of the least
 hash among its ``ANCHOR``-byte strings; equal windows have it at the same offset.  The
-suffixes are those at anchors, about one in 70 places.  Windows that share an anchor
-form a region.  Regions with equal bytes repeat as a whole; a region whose anchor
-string is unique holds no repeat; the others are open, and go on together with one or
-two of each kind of equal regions that share their anchor string.
+suffixes are those at anchors, about one in 70 places, in the order of their ``ANCHOR``
+leading bytes.  Windows that share an anchor form a region.  Regions with equal bytes
+repeat as a whole; a region whose anchor string is unique holds no repeat; the others are
+open, and go on together with one or two of each kind of equal regions that share their
+anchor string.
 Round 2: open regions are cut into blocks of ``BLOCK`` windows.  Blocks with equal bytes
 repeat; a block whose bytes common to all its windows are unique holds no repeat; the
 others are open in the same way.
 Round 3: the windows of blocks still open, one suffix each.
 
-The local sort is Spark's, which spills; it compares the leading word first and the
-next words on ties.  Strings count as equal if 64 bits of hash over the ``length`` bytes
-(or the whole region) agree beside the hash that brought them together.
+The local sort is Spark's, which spills; like a multikey quicksort it compares eight
+leading bytes at first and goes on where they tie.  In rounds 2 and 3 a fingerprint
+follows the leading bytes.  Strings count as equal if, beside the bytes or the
+fingerprint that brought them together, 64 bits of hash over the ``length`` bytes (or
+the whole region) agree; all of them are under 512 bytes, so short that polynomials
+modulo 2**64 tell them apart however regular they are.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treegate.llm import kernels as K
-from treegate.llm.common import Workspace
+from treegate.llm.common import Workspace, carried, unpacked
 
 LENGTH, ANCHOR, BLOCK = 200, 64, 16
 #: Bytes of one text looked at together; longer texts overlap by ``length`` - 1.
@@ -56,14 +60,28 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return (p >> _U(33)).astype(np.int64), (p >> _U(25) & _U(255)).astype(np.int64), (p >> _U(17) & _U(255)).astype(np.int64), (p & _U((1 << _TAG) - 1)).astype(np.int64)
 
 
-def _leading(buf: np.ndarray, at: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
-    """Sort word: the three leading bytes of the suffixes, then 40 bits of fingerprint."""
-    lead = buf[at].astype(np.uint64) << _U(56) | buf[at + 1].astype(np.uint64) << _U(48) | buf[at + 2].astype(np.uint64) << _U(40)
-    return (lead | fingerprint >> _U(24)) ^ _U(1 << 63)
+def _leading(buf: np.ndarray, at: np.ndarray, width: int, *after: np.ndarray) -> pa.Array:
+    """Sort keys: ``width`` leading bytes of the suffixes, then the bytes of further numbers."""
+    parts = [np.lib.stride_tricks.sliding_window_view(buf, width)[at]] if len(at) else [np.zeros((0, width), np.uint8)]
+    parts += [np.ascontiguousarray(x.astype(">u8")).view(np.uint8).reshape(-1, 8) for x in after]
+    return _binary(np.concatenate(parts, axis=1), np.ones(len(at), bool))
+
+
+def _binary(rows: np.ndarray, there: np.ndarray) -> pa.Array:
+    """A binary column of rows of equal width; empty where not ``there``."""
+    offsets = np.concatenate([[0], np.cumsum(there * rows.shape[1])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows[there]))])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A binary column whose values have one width, as a matrix of bytes."""
+    _, offsets, data = column.buffers()
+    cut = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[cut[0] : cut[-1]].reshape(len(column), -1)
 
 
 def _regions_of(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor, sort word, hash of all bytes) of the regions of some rows."""
+    """(first window, last window, anchor, hash of all bytes) of the regions of some rows."""
     prefix = K.prefix_hash(buf)
     _, inverse = K._powers(len(prefix))
     n = len(buf) - k + 1
@@ -82,7 +100,7 @@ def _regions_of(buf: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple
     new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
     first = np.flatnonzero(new)
     lo, hi, anchor = window[first], window[np.append(first[1:], len(window)) - 1] if len(first) else window, anchor[first]
-    return lo, hi, anchor, _leading(buf, anchor, grams[anchor]), K.range_hash(prefix, lo, hi + length)
+    return lo, hi, anchor, K.range_hash(prefix, lo, hi + length)
 
 
 def _regions(length: int, k: int):
@@ -97,10 +115,10 @@ def _regions(length: int, k: int):
                     cut = offs if whole else np.array([0, len(part)])
                     if len(part) < length:
                         continue
-                    lo, hi, anchor, key, sub = _regions_of(part, cut, length, k)
+                    lo, hi, anchor, sub = _regions_of(part, cut, length, k)
                     row = np.searchsorted(cut, lo, side="right") - 1
                     packed = _pack(lo - cut[row] + start, anchor - lo, hi - lo, tag[row])
-                    yield pa.record_batch([pa.array(K.signed(x), pa.int64()) for x in (key, sub, rid[row], packed)], names=["key", "sub", "rid", "pack"])
+                    yield pa.record_batch([_leading(part, anchor, k), *(pa.array(K.signed(x), pa.int64()) for x in (sub, rid[row], packed))], names=["key", "sub", "rid", "pack"])
 
     return find
 
@@ -128,18 +146,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         status = _status(left[0], left[1], right[0], right[1])
         near = left[0] + 2 * left[1] + 4 * right[0] + 8 * right[1]
         keep = np.flatnonzero((status > 0) | (edge > 0))
-        arrays = [pa.array(x[keep], pa.int64()) for x in columns.values()]
+        # keys are only looked at again at edges
+        arrays = [_binary(x[keep], edge[keep] > 0) if c == "key" else pa.array(x[keep], pa.int64()) for c, x in columns.items()]
         more = [pa.array(x[keep], pa.int32()) for x in (status, edge, near, np.full(len(edge), part))]
         return pa.record_batch([*arrays, *more], names=[*columns, "status", "edge", "near", "part"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        columns = {c: _matrix(batch.column(c)) if c == "key" else batch.column(c).to_numpy() for c in batch.schema.names}
         if held is not None:
             columns = {c: np.concatenate([held[c], x]) for c, x in columns.items()}
         n = len(columns["key"]) - 1
-        same_key = columns["key"][1:] == columns["key"][:-1]
+        same_key = (columns["key"][1:] == columns["key"][:-1]).all(axis=1)
         same = same_key & (columns["sub"][1:] == columns["sub"][:-1])
         left = [np.concatenate([held_left[i], x]) for i, x in enumerate((same_key, same))]
         if n:
@@ -157,7 +176,7 @@ def _round(suffixes: DataFrame, work: Workspace, name: str) -> DataFrame:
     """One sort: (status, rid, pack, ...) of suffixes whose neighbour agrees, see :func:`_neighbours`."""
     order = ["key", "sub", "rid", "pack"]
     dealt = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    columns = ", ".join(f"{c} long" for c in suffixes.columns)
+    columns = ", ".join(f"{c} {'binary' if c == 'key' else 'long'}" for c in suffixes.columns)
     marked = work.write(dealt.mapInArrow(_neighbours, f"{columns}, status int, edge int, near int, part int"), name)
     rest = [c for c in suffixes.columns if c not in ("key", "sub")]
     # two rows a partition: the only ones that are looked at in one task
@@ -207,9 +226,9 @@ def _blocks(length: int, size: int):
                 core = K.range_hash(one, anchor - q * size, anchor - (q * size + size - 1) + length)
                 hull = K.range_hash(two, anchor - y, anchor - x + length)
                 hull = K.mix(hull + x.astype(np.uint64) * _U(256) + y.astype(np.uint64))
-                key = _leading(buf, anchor - q * size, K.mix(core + q.astype(np.uint64)))
+                key = _leading(buf, anchor - q * size, min(ANCHOR, length - size + 1), K.mix(core + q.astype(np.uint64)))  # windows of blocks at other offsets are others
                 packed = _pack(lo[r] + offset[r] - y, y, y - x, tag[r])
-                yield pa.record_batch([pa.array(K.signed(v), pa.int64()) for v in (key, hull, rid[r], packed, ref[r])], names=["key", "sub", "rid", "pack", "ref"])
+                yield pa.record_batch([key, *(pa.array(K.signed(v), pa.int64()) for v in (hull, rid[r], packed, ref[r]))], names=["key", "sub", "rid", "pack", "ref"])
 
     return cut
 
@@ -224,10 +243,10 @@ def _windows(length: int):
                 s = lo[r] + np.arange(len(r)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
                 at = offs[r] + s - start[r]
                 one, two = K.prefix_hash(buf), K.prefix_hash(buf, 1)
-                key = _leading(buf, at, K.range_hash(one, at, at + length))
+                key = _leading(buf, at, ANCHOR, K.range_hash(one, at, at + length))
                 zero = np.zeros(len(s), np.int64)
                 packed = _pack(s, zero, zero, tag[r])
-                yield pa.record_batch([pa.array(K.signed(v), pa.int64()) for v in (key, K.range_hash(two, at, at + length), rows.column("rid").to_numpy()[r], packed)], names=["key", "sub", "rid", "pack"])
+                yield pa.record_batch([key, *(pa.array(K.signed(v), pa.int64()) for v in (K.range_hash(two, at, at + length), rows.column("rid").to_numpy()[r], packed))], names=["key", "sub", "rid", "pack"])
 
     return cut
 
@@ -245,12 +264,16 @@ def covered_spans(n_bytes: int, packs: np.ndarray, length: int) -> tuple[np.ndar
     return lo[first], end[np.append(first[1:], len(lo)) - 1]
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row's identity: ``rid``, 64 bits of hash over doc_id and text, and ``tag``, _TAG bits over the text.
+def _identity(doc_id: F.Column) -> dict[str, F.Column]:
+    """A row's identity: ``rid``, 64 bits of hash over doc_id and text, and ``tag``, _TAG bits over the text.
 
     Rows that share it have equal texts, and so the same repeats.
     """
-    return docs.withColumn("rid", F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), "text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << _TAG)).cast("int"))
+    return {"rid": F.xxhash64(F.lit(1), doc_id.cast("long"), "text"), "tag": F.pmod(F.xxhash64("text"), F.lit(1 << _TAG)).cast("int")}
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.withColumns(_identity(F.col("doc_id")))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -259,7 +282,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length: over {ANCHOR} and under {ANCHOR + 256}")
     work = Workspace(docs.sparkSession, "suffix")
     rows = _marked(docs.select("doc_id", "text")).select("rid", "tag", "text")
-    four = "key long, sub long, rid long, pack long"
+    four = "key binary, sub long, rid long, pack long"
     tag = F.col("pack").bitwiseAND(F.lit((1 << _TAG) - 1)).cast("int")
 
     places = _round(rows.where(F.octet_length("text") >= length).mapInArrow(_regions(length, ANCHOR), four), work, "regions")
@@ -297,6 +320,8 @@ def _removal(length: int, with_text: bool):
                         kept.append(data[a + at : a + s])
                         at = e
                     kept.append(data[a + at : a + n])
+                    if len(ends) and ends[-1] > n:
+                        raise ValueError("repeats past the end of a text: its row has changed")
                     removed = int((ends - starts).sum())
                     if with_text:
                         out.append((_whole_characters(bytes(data[a : a + n]), starts, ends), removed))
@@ -346,18 +371,17 @@ def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(_removal(length, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text``, and ``n_removed``, the bytes that repeat.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, into: str = "n_removed") -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text``, and ``into``, the bytes that repeat.
 
     As :func:`repeat_report`, but a character is only cut if all of its bytes repeat,
-    so the text stays UTF-8. Null texts stay null. Other columns pass through.
+    so the text stays UTF-8. Null texts stay null. Other columns pass through whatever
+    their names; one named ``into`` gives way.
     """
     found = repeated_windows(docs, length).select(F.col("rid").alias("__rid"), F.col("tag").alias("__tag"), F.col("packs").alias("__packs"))
-    names = docs.columns
-    rows = _marked(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
-    joined = rows.join(found, (F.col("rid") == F.col("__rid")) & (F.col("tag") == F.col("__tag")), "left").select("row", "text", F.col("__packs").alias("packs"))
-    kind = joined.select(F.struct(*[F.col(f"row.`{c}`").alias(c) for c in names if c != "text"]).alias("row"), "text", "packs")
-    schema = f"row {kind.schema['row'].dataType.simpleString()}, text string, n_removed long"
-    cut = kind.withColumn("missing", F.col("text").isNull()).mapInArrow(_removal(length, True), schema.replace("text string", "missing boolean, text string"))
-    text = F.when(~F.col("missing"), F.col("text"))
-    return cut.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "n_removed")
+    names, packed = carried(docs, into)
+    rows = packed.withColumns(_identity(F.col("row.doc_id")))
+    joined = rows.join(found, (F.col("rid") == F.col("__rid")) & (F.col("tag") == F.col("__tag")), "left").select("row", F.col("text").isNull().alias("missing"), "text", F.col("__packs").alias("packs"))
+    fields = [joined.schema["row"], T.StructField("missing", T.BooleanType()), T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]
+    cut = joined.mapInArrow(_removal(length, True), T.StructType(fields))
+    return cut.select(*unpacked(names, F.when(~F.col("missing"), F.col("text"))), F.col("n_removed").alias(into))
