@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,10 +79,11 @@ def test_awkward_documents(spark, benchmark):
     rows = [*awkward(), (20, items[3][1]), (20, items[3][1]), (None, items[4][1])]
     df = documents(spark, rows, extra=True)
     got = D.find_items(df, table)
-    assert got.columns == [*df.columns, "items"]
+    assert got.columns == [*(c for c in df.columns if c != "items"), "items"]  # the given one gives way
+    assert D.find_items(df, table, into="hits").columns == [*df.columns, "hits"]
     found = got.collect()
     assert len(found) == len(rows) and sum(bool(r["items"]) for r in found) == 3
-    assert all(r.rep == "rep" for r in found)
+    assert all(r.rep == "rep" and r["a b"] == "a b" and r["c`d"] == "c`d" for r in found)
     assert D.find_items(df.where("false"), table).count() == 0
     assert all(not r["items"] for r in D.find_items(df, table.where("false")).collect())
 
@@ -120,3 +124,62 @@ def test_items_with_a_null_id_are_found(spark, monkeypatch, size):
     docs = documents(spark, [(i, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for i, (_, t) in enumerate(items)])
     got = {r.doc_id: [x.item_id for x in r["items"]] for r in D.find_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {i: [k] for i, (k, _) in enumerate(items)}
+
+
+def _tokens(text):
+    """Words by the definition: A-Z and the capitals of Latin-1 in lower case."""
+    low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "")
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", low.encode())
+
+
+def from_texts(docs, items, threshold=D.THRESHOLD, question=D.QUESTION, answer=D.ANSWER):
+    """Per document the items (by place in the list) and their scores: BM25 of every passage for every item, summed up from the texts."""
+    words = {i: _tokens(t) for i, (_, t) in enumerate(items) if _tokens(t)}
+    frequency = Counter(w for ws in words.values() for w in set(ws))
+    mean = sum(map(len, words.values())) / len(words)
+    out = []
+    for _, text in docs:
+        own, best = _tokens(text), {}
+        for i, ws in words.items():
+            stride = 1
+            while stride < len(ws):
+                stride *= 2
+            tf, norm = Counter(ws), D.K1 * (1 - D.B + D.B * len(ws) / mean)
+            impact = {w: math.log(1 + (len(words) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (D.K1 + 1) / (n + norm) for w, n in tf.items()}
+            q, a = (_tokens(x) for x in D.question_and_answer(items[i][1]))
+            if len(q) < D.GRAM or not a:
+                q, a = ws, []
+            k = min(D.GRAM, len(q))
+            grams = lambda x: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}  # noqa: B023, E731
+            for at in range(0, max(1, -(-len(own) // stride) - 1) * stride, stride):
+                passage = own[at : at + 2 * stride]
+                score = sum(impact.get(w, 0) for w in set(passage)) / sum(impact.values())
+                asked = len(grams(q) & grams(passage)) / len(grams(q))
+                answered = len(set(a) & set(passage)) / len(set(a)) if a else 1
+                if score >= threshold - 1e-6 and asked >= question and answered >= answer:
+                    best[i] = max(best.get(i, 0), score)
+        out.append(sorted((items[i][0] is None, items[i][0] or 0, round(s, 6)) for i, s in best.items()))
+    return out
+
+
+@pytest.mark.parametrize("size", [25_000, 9])
+def test_against_bm25_summed_up_from_texts(spark, monkeypatch, size):
+    """One item of many thousand words, empty and equal ones, null and repeated ids, capitals of several alphabets."""
+    monkeypatch.setattr(D, "ITEMS_PER_INDEX", size)
+    rng = random.Random(23)
+    names = ["ЖУК", "Москва", "ΑΘΗΝΑ", "Œuvre", "Łódź", "ÑANDÚ", "été"]
+    items = [(i, f"{prose(rng, rng.randrange(1, 40))}? {rng.choice(names)} {prose(rng, rng.randrange(1, 9))}") for i in range(40)]
+    items += [(7, items[7][1]), (7, prose(rng, 9)), (None, prose(rng, 20)), (60, "?!"), (61, ""), (62, None), (63, prose(rng, 3_000)), (64, "ЖУК")]
+    docs = []
+    for i in range(120):
+        words = prose(rng, rng.choice([0, 3, 30, 300])).split(" ")
+        if i % 3:
+            text = rng.choice(items)[1] or ""
+            if i % 2:  # a near copy
+                text = " ".join(w for w in text.split(" ") if rng.random() > 0.12)
+            words.insert(rng.randrange(len(words) + 1), text)
+        docs.append((i, " ".join(words)))
+    docs += [(200, None), (None, items[3][1]), (5, docs[5][1]), (201, f"{prose(rng, 500)} {items[-2][1]} {prose(rng, 500)}")]
+    numbered = spark.createDataFrame([(n, *d) for n, d in enumerate(docs)], "n long, doc_id long, text string")
+    got = D.find_items(numbered, spark.createDataFrame(items, "item_id long, text string")).orderBy("n").collect()
+    assert [sorted((x.item_id is None, x.item_id or 0, round(x.score, 6)) for x in r["items"]) for r in got] == from_texts(docs, items)

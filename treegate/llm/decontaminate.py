@@ -1,17 +1,19 @@
 """Benchmark decontamination: BM25 over test items, block-max WAND, overlap verification.
 
 The inverted index holds the test items.  Every passage of every training text is a
-query: runs of words twice as long as the longest item, each half over the next, so an
-item that occurs as a whole lies whole in one of them.  Scores are BM25 of the item for
-the passage's distinct words, divided by the item's score for its own words, so one
-threshold fits all items.  Block-max WAND (Ding and Suel, 2011) retrieves every item at
-or above it, with blocks that are ranges of items, the same for all terms: a passage
-whose words' greatest impacts, over all items or in a block, sum to less cannot have an
-item there, which is tested for whole batches of passages at once; in the blocks that
-are left, pivots by the block's maxima decide which items are scored.  What is
-retrieved counts only if the item's
-question (its text up to the last sentence, or all of it if that has under four words)
-and answer (the last sentence) overlap the passage.
+query: runs of words of twice a length, each half over the next, so an item of at most
+that length that occurs as a whole lies whole in one of them.  Items are grouped by
+length (each group up to twice its shortest), and a group is searched by passages of its
+own length, so a few long items don't blunt the search for short ones.  Scores are BM25
+of the item for the passage's distinct words, with statistics over all items, divided by
+the item's score for its own words, so one threshold fits all items.  Block-max WAND
+(Ding and Suel, 2011) retrieves every item at or above it, with blocks that are ranges of
+items, the same for all terms: a passage whose words' greatest impacts, over all items or
+in a block, sum to less cannot have an item there, which is tested for whole batches of
+passages at once; in the blocks that are left, pivots by the block's maxima decide which
+items are scored.  What is retrieved counts only if the item's question (its text up to
+the last sentence, or all of it if that has under four words) and answer (the last
+sentence) overlap the passage.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treegate.llm import kernels as K
-from treegate.llm.common import Workspace, list_of
+from treegate.llm.common import Workspace, carried, list_of, unpacked
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own score; least overlaps of question 4-grams and of answer words.
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.6
 GRAM, BLOCKS, BLOCK_ITEMS = 4, 64, 4
-#: Items of one index; more items make more indexes, each over all texts.
-ITEMS_PER_INDEX = 50_000
+#: Items of one index, and their bytes, on average; more make more indexes, each over all texts.
+ITEMS_PER_INDEX, BYTES_PER_INDEX = 25_000, 25_000_000
 
 #: Words are runs of ASCII letters, digits and non-ASCII bytes; the rest separates them. Case counts for letters past U+00FF alone.
 _BREAK = np.ones(256, bool)
@@ -65,18 +68,29 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text[: cuts[-1]], text[cuts[-1] :]) if cuts and text[: cuts[-1]].strip() else (text, "")
 
 
+@dataclass
+class Statistics:
+    """In how many items each word (by its hash) is; how many items, and words in them."""
+
+    frequency: dict[int, int]
+    items: int
+    words: int
+
+
 class Index:
     """Items as sorted postings in blocks, with each term's and each block's greatest impact."""
 
-    def __init__(self, items: list[tuple[int | None, str]], frequency: dict[int, int] | None = None, total: int | None = None, mean: float | None = None):
-        """``frequency``, ``total``, ``mean``: of all items, where these are some of them."""
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
+        """``statistics``: of all items, where these are some of them."""
         rows = [(i, t, _words_of(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))]
         rows = [r for r in rows if len(r[2])]
         self.ids = [r[0] for r in rows]
-        self.longest = max((len(r[2]) for r in rows), default=1)
+        #: words that passages advance by: no item is longer
+        self.stride = 1 << max((len(r[2]) - 1).bit_length() for r in rows) if rows else 1
         counts = [Counter(r[2].tolist()) for r in rows]
-        frequency = frequency or Counter(t for c in counts for t in c)
-        total, mean = total or len(rows), mean or np.mean([len(r[2]) for r in rows] or [1])
+        if statistics is None:
+            statistics = Statistics(Counter(t for c in counts for t in c), len(rows), sum(len(r[2]) for r in rows))
+        frequency, total, mean = statistics.frequency, statistics.items, statistics.words / max(1, statistics.items)
         postings: dict[int, list[tuple[int, float]]] = {}
         for d, ((_, _, words), c) in enumerate(zip(rows, counts, strict=True)):
             norm = K1 * (1 - B + B * len(words) / mean)
@@ -173,7 +187,7 @@ class Index:
         term = self.lookup(words)
         impact = np.where(term >= 0, self.greatest[term], 0.0)
         total = np.concatenate([[0.0], np.cumsum(impact)])
-        stride = self.longest
+        stride = self.stride
         sizes = np.diff(first)
         each = np.maximum(1, -(-sizes // stride) - 1) * (sizes > 0)
         row = np.repeat(np.arange(len(sizes)), each)
@@ -210,60 +224,64 @@ _HIT_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per item row its part, its number of words and its distinct words' hashes."""
+    """Per item row its key, its number of words and its distinct words' hashes."""
     for batch in batches:
         for rows, buf, offs in K.slices(batch, "text"):
             words, first = _words(buf, offs)
             terms = [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             flat = K.signed(np.concatenate(terms))
-            yield pa.record_batch([rows.column("part"), pa.array(np.diff(first), pa.int64()), list_of(flat, [len(x) for x in terms], pa.int64())], names=["part", "n_words", "terms"])
+            yield pa.record_batch([rows.column("key"), pa.array(np.diff(first), pa.int64()), list_of(flat, [len(x) for x in terms], pa.int64())], names=["key", "n_words", "terms"])
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index, or as many as keep each within ITEMS_PER_INDEX items; statistics are of all items, row by row."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    n = items.count()
-    if n <= ITEMS_PER_INDEX:
-        yield Index([(r.item_id, r.text) for r in items.collect()])
-        return
-    parts = -(-2 * n // ITEMS_PER_INDEX)
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+def _indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The items with a word, a row each, dealt over as many parts as keep each small; per part an index for each group of lengths."""
     work = Workspace(benchmark.sparkSession, "items")
-    terms = work.write(dealt.select("part", "text").mapInArrow(_item_terms, "part int, n_words long, terms array<long>"), "terms").where("n_words > 0")
-    total, words = terms.agg(F.count("*"), F.sum("n_words")).first()
-    each = terms.select("part", F.explode("terms").alias("term"))
-    frequency = work.write(each.groupBy("term").agg(F.count("*").alias("n")), "frequency")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    keyed = work.write(items.withColumn("key", F.monotonically_increasing_id()), "keyed")  # written: a key stays a row's
+    terms = work.write(keyed.select("key", "text").mapInArrow(_item_terms, "key long, n_words long, terms array<long>"), "terms").where("n_words > 0")
+    frequency = work.write(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "frequency")
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, words = terms.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    parts = max(-(-total // ITEMS_PER_INDEX), -(-size // BYTES_PER_INDEX))
+    part = F.pmod(F.xxhash64("key"), F.lit(max(1, parts)))
     for p in range(parts):
-        known = frequency.join(each.where(F.col("part") == p).select("term").distinct(), "term").collect()
-        yield Index([(r.item_id, r.text) for r in dealt.where(F.col("part") == p).collect()], {r.term % 2**64: r.n for r in known}, total, words / total if total else None)
+        own = terms.where(part == p)
+        known = frequency.join(own.select(F.explode("terms").alias("term")).distinct(), "term").collect()
+        statistics = Statistics({r.term % 2**64: r.n for r in known}, total, words)
+        groups: dict[int, list[tuple[int | None, str]]] = {}
+        for r in keyed.join(own.select("key", "n_words"), "key").collect():
+            groups.setdefault((r.n_words - 1).bit_length(), []).append((r.item_id, r.text))
+        yield [Index(groups[g], statistics) for g in sorted(groups)]
     work.delete("")
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """``docs`` with ``items``: the benchmark items that each whole text holds, with scores and overlaps.
+def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, into: str = "items") -> DataFrame:
+    """``docs`` with ``into``: the benchmark items that each whole text holds, with scores and overlaps.
 
     ``benchmark``: (item_id, text). Null and empty texts, and texts or items without a
     word, match nothing; items that repeat an id, or have a null one (null in the hit),
     are items of their own. Rows pass through one by one, so repeated rows, null
-    doc_ids and other columns change nothing; an empty table gives an empty result, an
-    empty benchmark no items.
+    doc_ids and other columns, whatever their names, change nothing; a column named
+    ``into`` gives way. An empty table gives an empty result, an empty benchmark no items.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"), "text", F.array().cast(f"array<{_HIT}>").alias("items"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    for index in _indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # ITEMS_PER_INDEX items at most
+    names, packed = carried(docs, into)
+    rows = packed.withColumn("found", F.array().cast(f"array<{_HIT}>"))
+    schema = rows.schema
+    for indexes in _indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)  # about ITEMS_PER_INDEX items and BYTES_PER_INDEX bytes
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             K.release_caches()
-            index = shared.value
             for batch in batches:
                 for part, buf, offs in K.slices(batch, "text"):
                     words, first = _words(buf, offs)
-                    found = index.matches(words, first, threshold, question, answer)
-                    before = part.column("items").to_pylist() if part.column("items").flatten() else [[]] * part.num_rows
-                    hits = [[*b, *({"item_id": index.ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for i, s, q, a in f)] for b, f in zip(before, found, strict=True)]
-                    yield pa.record_batch([part.column("row"), part.column("text"), pa.array(hits, _HIT_ARROW)], names=["row", "text", "items"])
-
-        rows = rows.mapInArrow(match, fields)
-    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "items")
+                    hits = part.column("found").to_pylist() if len(part.column("found").flatten()) else [[] for _ in range(part.num_rows)]
+                    for index in shared.value:
+                        for h, found in zip(hits, index.matches(words, first, threshold, question, answer), strict=True):
+                            h.extend({"item_id": index.ids[i], "score": s, "question_overlap": q, "answer_overlap": a} for i, s, q, a in found)
+                    for h in hits:
+                        h.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, -x["score"]))
+                    yield pa.record_batch([part.column("row"), part.column("text"), pa.array(hits, _HIT_ARROW)], names=["row", "text", "found"])
+
+        rows = rows.mapInArrow(match, schema)
+    return rows.select(*unpacked(names), F.col("found").alias(into))
