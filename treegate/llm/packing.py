@@ -98,12 +98,12 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
                     ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         x = ids[at : at + 4 * capacity]
-                        out.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x), np.frombuffer(x, "<u4").astype(np.int64) if with_ids else None))
+                        out.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x), np.frombuffer(x, "<i4") if with_ids else None))
                 columns = list(zip(*out, strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    arrays.append(pa.array(columns[5], pa.list_(pa.int64())))
+                    arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.record_batch(arrays, names=names)
 
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     pieces = work.write(rows.mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids), schema), "pieces")
 
     # ranks within a length: a hot length is dealt over salts, whose counts are summed up
@@ -148,5 +148,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             out = out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
             yield out.append_column("ids", batch.column("ids")) if with_ids else out
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return ranked.mapInArrow(place, schema)
