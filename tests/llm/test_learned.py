@@ -37,9 +37,10 @@ def test_languages_of_held_out_rows(languages):
 def test_languages_of_awkward_documents(spark, languages):
     model = langid.fit(languages, F.lit(True))
     rows = awkward()
-    df = documents(spark, rows, extra=True).drop("score")
+    df = documents(spark, rows, extra=True)
     got = langid.identify(df, model)
-    assert got.columns == [*df.columns, "lang_pred", "score"]
+    assert got.columns == [*(c for c in df.columns if c not in ("lang_pred", "score")), "lang_pred", "score"]  # the given ones give way
+    assert langid.identify(df, model, ("language", "certainty")).columns == [*df.columns, "language", "certainty"]
     found = got.collect()
     assert len(found) == len(rows)
     for r in found:

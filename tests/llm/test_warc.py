@@ -70,7 +70,7 @@ def test_normaliser(monolithic):
     assert len(index) == len(bodies) and gzip.decompress(data) == b"".join(parts)
     for i in rng.sample(range(len(bodies)), 10):
         headers, body = warc.read_at(data, index[i]["offset"], index[i]["length"])
-        assert body == bodies[i] and headers["WARC-Target-URI"] == f"http://x/{i}"
+        assert body == bodies[i] and headers.text("WARC-Target-URI") == f"http://x/{i}"
     assert json.loads(json.dumps(index)) == index
 
 
@@ -79,3 +79,48 @@ def test_broken_streams():
     for cut in (part[:-8], part[:30]):
         with pytest.raises(ValueError):
             list(warc.records(io.BytesIO(cut)))
+
+
+def test_heads_as_crawlers_write_them():
+    """Lower case, no blank after the colon, folded lines, Latin-1, bare line feeds; records come out byte for byte."""
+    heads = [
+        b"WARC/1.0\r\nwarc-type: response\r\ncontent-length: 5\r\nwarc-record-id: <urn:page:1>\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID:<urn:page:2>\r\nContent-Length:5\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/a\r\n b\r\n\tc\r\nContent-Length: 5\r\n\r\n",
+        "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/é\r\nContent-Length: 5\r\n\r\n".encode("latin-1"),
+        b"WARC/1.1\nWARC-Type: metadata\nContent-Length: 5\n\n",
+    ]
+    parts = [h + f"bod\n{i}".encode() + b"\r\n\r\n" for i, h in enumerate(heads)]
+    data = b"".join(parts)
+    for cut in (len(data), 7, 100):  # members end anywhere
+        source = b"".join(gzip.compress(data[i : i + cut]) for i in range(0, len(data), cut))
+        out = io.BytesIO()
+        index = warc.normalise(io.BytesIO(source), out)
+        assert [gzip.decompress(out.getvalue()[x["offset"] : x["offset"] + x["length"]]) for x in index] == parts
+        assert [x["type"] for x in index] == ["response"] * 4 + ["metadata"]
+        assert [x["url"] for x in index] == [None, None, "http://x/a b c", "http://x/é", None]
+        assert [warc.read_at(out.getvalue(), x["offset"], x["length"])[1] for x in index] == [f"bod\n{i}".encode() for i in range(5)]
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(b"WARC/1.1\r\nWARC-Type: x\r\n\r\n")))
+
+
+def test_files_of_other_attempts_are_not_read(spark):
+    folder = Workspace(spark, "warc-test").path
+    made = [r.file for r in warc.write_archives(spark.createDataFrame(pages(), SCHEMA), folder).collect()]
+    where, path = fs.FileSystem.from_uri(f"{folder}/warc")
+    stem = made[0].removesuffix(".warc.gz")
+    for end in (".warc.gz", ".index"):
+        where.copy_file(f"{path}/{stem}{end}", f"{path}/pages-000000-000000-lost{end}")
+    assert warc.read_archives(spark, folder).count() == len(pages())
+
+
+def test_pages_that_the_bitmap_wrongly_holds_keep_their_payloads(spark, monkeypatch):
+    from treegate.llm import common
+
+    exact = common.marked
+    monkeypatch.setattr(warc, "marked", lambda df, wanted, *key: exact(df, wanted, *key, bits=7))
+    monkeypatch.setattr(warc, "likely", lambda df, wanted, *key: common.likely(df, wanted, *key, bits=7))
+    rng = random.Random(6)
+    rows = [(i, f"u{i}", "<p>" + (prose(rng, 30) if i % 3 else "same page " * 20)) for i in range(120)] + pages()
+    got = warc.archive_round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want(rows)

@@ -44,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """A folder of its own in the shared folder, for the tables of one operator run."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str = "tables", path: str | None = None):
+        """``path``: a folder that is there already."""
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read from the files."""
@@ -100,14 +101,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bitmap(df: DataFrame, wanted: DataFrame, key: tuple[str, ...], bits: int) -> DataFrame:
-    """``df`` with ``__maybe``: whether the row's key may be in ``wanted``."""
+def marked(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataFrame:
+    """``df`` with ``__maybe``: whether the row's key may be in ``wanted``; see :func:`likely`."""
     place = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     found = wanted.select(word.alias("__word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = df.withColumn("__word", word).withColumn("__at", bit).join(F.broadcast(found), "__word", "left")
+    placed = df.withColumn("__word", word).withColumn("__at", bit).join(F.broadcast(found), "__word", "left")
     maybe = F.coalesce(F.call_function("shiftright", F.col("__bits"), F.col("__at")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return marked.select(*df.columns, maybe.alias("__maybe"))
+    return placed.select(*[F.col(quoted(c)) for c in df.columns], maybe.alias("__maybe"))
 
 
 def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataFrame:
@@ -117,14 +118,14 @@ def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataF
     numbers at most, whatever the size of ``wanted``. A join that follows is exact; this
     only keeps texts that it would drop out of its shuffle.
     """
-    return _bitmap(df, wanted, key, bits).where("__maybe").drop("__maybe")
+    return marked(df, wanted, *key, bits=bits).where("__maybe").drop("__maybe")
 
 
 def without(df: DataFrame, gone: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """The rows of ``df`` whose ``key`` isn't in ``gone``; only those that the bitmap can't clear are shuffled."""
-    marked = _bitmap(df, gone, (key,), bits)
-    clear, open_rows = marked.where("not __maybe").drop("__maybe"), marked.where("__maybe").drop("__maybe")
-    return clear.unionByName(open_rows.join(gone.select(key), key, "left_anti").select(df.columns))
+    split = marked(df, gone, key, bits=bits)
+    clear, open_rows = split.where("not __maybe").drop("__maybe"), split.where("__maybe").drop("__maybe")
+    return clear.unionByName(open_rows.join(gone.select(key), key, "left_anti").select([F.col(quoted(c)) for c in df.columns]))
 
 
 def list_of(flat, counts, value_type: pa.DataType) -> pa.Array:
