@@ -1,6 +1,7 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -9,7 +10,10 @@ from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from tokenizers import Tokenizer  # noqa: E402
+
 from treegate.llm import dac, packing, tokenids  # noqa: E402
+from treegate.llm.common import Workspace  # noqa: E402
 from treegate.llm.tokens import encoder  # noqa: E402
 
 from .helpers import awkward, documents, prose  # noqa: E402
@@ -17,8 +21,12 @@ from .helpers import awkward, documents, prose  # noqa: E402
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The library as it is, not an operator's encoder.
+fresh = cache(Tokenizer.from_file)
+
+
 def plain_ids(path, text):
-    return encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return fresh(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -62,6 +70,26 @@ def test_token_ids_of_awkward_documents(spark):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
+def test_files_of_many_segments_and_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(tokenids, "SEGMENT_TOKENS", 150)
+    monkeypatch.setattr(tokenids, "FILE_SEGMENTS", 3)
+    rng = random.Random(8)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(rng, rng.randrange(60))) for i in range(240)]
+    folder = Workspace(spark, "tokens-test").path
+    segments = tokenids.write_token_files(documents(spark, rows), folder, BYTE)
+    made = segments.collect()
+    files = Counter(r.file for r in made)
+    assert max(files.values()) == 3 and len(made) > 20
+    # a third of all rows has no id, and a third has one: several tasks write each
+    assert len({r.part for r in made}) == 4
+    open(f"{folder.removeprefix('file://')}/tokens-000000-000000-lost.dac", "wb").write(b"left by another attempt")
+    got = sorted(tokenids.read_token_files(segments, folder, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    want = Counter((str(i), tuple([*plain_ids(BYTE, t), 0])) for i, t in rows)
+    assert Counter((str(r.doc_id), tuple(r.ids)) for r in got) == want
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda d: (d is not None, d or 0))
+
+
 def test_token_ids_of_an_empty_table(spark):
     assert tokenids.token_ids(documents(spark, [(1, "x")]).where("false"), BYTE).count() == 0
 

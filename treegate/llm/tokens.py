@@ -25,6 +25,8 @@ ENCODE_BYTES = 1_000_000
 #: The cutting expressions of the two known tokenizer files.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normalising steps of the second, which cut text the same way as blanks stand as they are.
+WORD_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 def _ranges(has) -> str:
@@ -91,8 +93,8 @@ class Encoder:
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.find = _compiled(BYTE_LEVEL).findall
         elif norm and pre.get("type") == "Sequence":
-            steps, cuts = [x["type"] for x in norm.get("normalizers", [])], pre["pretokenizers"]
-            if steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern", {}).get("Regex") == WORD_LEVEL and cuts[0].get("invert") and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"]:
+            steps, cuts = norm.get("normalizers", []), pre["pretokenizers"]
+            if steps == WORD_STEPS and len(cuts) == 2 and cuts[0].get("pattern", {}).get("Regex") == WORD_LEVEL and cuts[0].get("invert") and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"]:
                 self.find, self.lower = _compiled(WORD_LEVEL).findall, True
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -123,11 +125,12 @@ class Encoder:
         return out
 
 
-encoders: dict[str, Encoder] = {}
+encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
-    """This worker's encoder of a tokenizer file."""
-    if path not in encoders:
-        encoders[path] = Encoder(path, pieces)
-    return encoders[path]
+    """This worker's encoder of a tokenizer file with a cache of this size."""
+    if (path, pieces) not in encoders:
+        encoders.clear()  # one at a time: caches are large
+        encoders[path, pieces] = Encoder(path, pieces)
+    return encoders[path, pieces]
