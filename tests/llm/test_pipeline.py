@@ -1,8 +1,11 @@
 """The pipeline's stages, one after the other, against plain Python on the same rows."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from treegate.llm.queries import ORACLES, QUERIES
@@ -58,6 +61,8 @@ def test_run_packs_what_is_left(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert len({r.doc_id for r in rows}) == len(rows) > 80
     assert sum(r.length for r in rows) <= 4096 * len({r.sequence_id for r in rows})
+    # the product holds the tokens themselves
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in rows)
 
 
 def test_an_empty_table(spark, folder, tmp_path):
@@ -89,3 +94,15 @@ def test_one_row_stays_of_repeated_ids_and_null_id_copies(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == want
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in packed if not r.start) == sorted(i for i, _ in want)
+
+
+def test_columns_of_any_name_pass_all_stages(spark, folder):
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = documents(spark, [(r.doc_id, r.text) for r in plain.collect()], extra=True).withColumns({"group": F.lit("group"), "o": F.lit("o")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count() > 60
+        assert all(r[c] == c for r in docs.collect() for c in docs.columns[5:])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
