@@ -3,13 +3,16 @@
 import json
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from treegate import GrammarError, parse
+from treegate import GrammarError, parse, register_format
 from treegate.catalogue import nation_descriptors
+from treegate.plans import necessary
 from treegate.sources import jsontree, proto, xmltree
-from treegate.streaming.filtering import filter_to_memory, read_stream
+from treegate.streaming.filtering import filter_to_files, read_stream
+
+from .forests import grammars, json_texts
 
 
 def leaf(kind, value):
@@ -153,9 +156,45 @@ def test_a_stream_gives_what_the_batch_gives(spark, tmp_path):
     batch = spark.read.parquet(path)
     for grammar, how in ((".k > 3", {"on": "props", "format": "json"}), (".id >= 40", {})):
         g = parse(grammar)
-        name = f"s{abs(hash(grammar))}"
-        filter_to_memory(g, read_stream(spark, path, batch.schema), name, **how).awaitTermination()
-        assert sorted(r.id for r in spark.table(name).collect()) == sorted(r.id for r in g.filter(batch, **how).collect())
+        out = str(tmp_path / g.compiled.key())
+        for _ in range(2):  # started again it finds nothing new
+            filter_to_files(g, read_stream(spark, path, batch.schema), f"{out}/kept", f"{out}/checkpoint", **how).awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(f"{out}/kept").collect()) == sorted(r.id for r in g.filter(batch, **how).collect())
+
+
+def test_a_format_of_ones_own(spark):
+    def decode(text, sep=";"):
+        return [node(k, leaf("int", int(v))) for k, v in (x.split("=") for x in text.split(sep))]
+
+    register_format("pairs-test", decode)
+    df = spark.createDataFrame([(1, "a=1;b=2"), (2, "b=2;a=3"), (3, "a=x"), (4, None)], "n int, t string")
+    g = parse(".a == 1")
+    assert [r.n for r in g.filter(df, on="t", format="pairs-test").collect()] == [1]
+    assert [r.valid for r in g.validate(df, on="t", format="pairs-test").orderBy("n").collect()] == [True, False, None, None]
+    assert [r.n for r in g.filter(df.selectExpr("n", "replace(t, ';', '/') t"), on="t", format="pairs-test", sep="/").collect()] == [1]
+    with pytest.raises(GrammarError):
+        register_format("json", decode)
+
+
+def test_texts_without_what_is_needed_do_not_reach_python(spark):
+    texts = ['{"head":{"p":"1-URGENT"}}', '{"head":{"p":"2-HIGH"}}', '{"h\\u0065ad":{"p":"1\\u002dURGENT"}}', '{"p":"1-URGENT"}', "broken head p 1-URGENT", '{"head":{"p":"2","p":"1-URGENT"}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    g = parse('.head.p == "1-URGENT"')
+    assert necessary.strings(g.compiled) == ["1-URGENT", "head", "p"]
+    kept = g.filter(df, on="t", format="json")
+    assert [r.n for r in kept.collect()] == [0, 2, 5]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(t#" in plan.split("ArrowEvalPython")[1]
+    for text, want in (('(.a == 1 | .b == "x")', []), ('(.a == "xyz" | .b:.a:*)', ["a"]), ("!(.a == 1)", []), ("(a:*)?", []), ("#main = (.leaf == 1 | .next:@main)", []), ("#main = .next:(.leaf == 1 | @r) #r = .next:@main", ["next"]), ('.a->and(hasPrefix($string, "pre"), hasSuffix($string, "é"))', ["pre", "a"])):
+        assert necessary.strings(parse(text).compiled) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(grammars(), json_texts)
+def test_necessary_strings_are_necessary(grammar, text):
+    g = parse(grammar)
+    if g.accepts(jsontree.decode(text)):
+        assert all(s in text or "\\u" in text for s in necessary.strings(g.compiled))
 
 
 def test_validate_of_rows(spark):

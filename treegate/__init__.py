@@ -7,5 +7,7 @@
 from treegate.errors import GrammarError, RecordError
 from treegate.functions.udfs import FunctionLibrary, sample_library
 from treegate.operators.filtering import Grammar, filter, parse, validate  # noqa: A004
+from treegate.plans.arrow import register_format
+from treegate.plans.planner import PythonPlan
 
-__all__ = ["FunctionLibrary", "Grammar", "GrammarError", "RecordError", "filter", "parse", "sample_library", "validate"]
+__all__ = ["FunctionLibrary", "Grammar", "GrammarError", "PythonPlan", "RecordError", "filter", "parse", "register_format", "sample_library", "validate"]

@@ -79,9 +79,9 @@ def shared_derive(g: Grammar, forest: list[Tree]) -> Pattern:
     return _Derivation(g, {}).forest(g.main, forest)
 
 
-def accepts(g: Grammar, forest: list[Tree]) -> bool:
+def accepts(g: Grammar, forest: list[Tree], shared: bool = False) -> bool:
     """Whether the record is accepted; an unreadable label rejects it."""
     try:
-        return derive(g, forest).nullable
+        return (shared_derive if shared else derive)(g, forest).nullable
     except RecordError:
         return False

@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treegate import syntax
 from treegate.errors import GrammarError
@@ -13,7 +14,7 @@ from treegate.functions.stdlib import Library
 from treegate.functions.udfs import FunctionLibrary
 from treegate.grammar import Grammar as Compiled
 from treegate.labels import Tree
-from treegate.plans import planner
+from treegate.plans import necessary, planner
 
 
 class Grammar:
@@ -21,8 +22,8 @@ class Grammar:
 
     ``filter(df)`` keeps the rows that it accepts, ``validate(df, name)`` adds a boolean
     column, ``column(df)`` is the condition itself.  By default a row's columns are the
-    record; with ``on`` and ``format`` ("json", "xml", "protobuf") a column's payload
-    is.  All three are narrow and stateless, so they work on streams too.
+    record; with ``on`` and ``format`` ("json", "xml", "protobuf" or one that was registered) a
+    column's payload is.  All three are narrow and stateless, so they work on streams too.
     """
 
     def __init__(self, compiled: Compiled):
@@ -40,8 +41,15 @@ class Grammar:
         return self.plan(df, on, format, **options).column
 
     def filter(self, df: DataFrame, on: str | None = None, format: str | None = None, **options: Any) -> DataFrame:
-        """The accepted rows, unchanged; broken payloads are dropped unless ``on_error="raise"``."""
-        return df.filter(self.column(df, on, format, **options))
+        """The accepted rows, unchanged; broken payloads are dropped unless ``on_error="raise"``.
+
+        JSON texts that can't be accepted for want of a name or string don't reach Python.
+        """
+        condition = self.column(df, on, format, **options)
+        if format == "json" and options.get("on_error", "null") == "null" and isinstance(df.select(on).schema[0].dataType, T.StringType):
+            guard = necessary.json_guard(self.compiled, F.col(on))
+            condition = condition if guard is None else guard & condition
+        return df.filter(condition)
 
     def validate(self, df: DataFrame, name: str = "valid", on: str | None = None, format: str | None = None, **options: Any) -> DataFrame:
         """``df`` with a boolean column; null only where a payload is null or broken."""

@@ -16,26 +16,53 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treegate import naive
 from treegate.automaton import automaton
 from treegate.errors import GrammarError
 from treegate.grammar import Grammar
 from treegate.labels import Tree
 from treegate.sources import jsontree, proto, rows, xmltree
 
-FORMATS = ("json", "xml", "protobuf")
+#: A format's decoder, made from the options of a call: the function from a payload to its forest, and what that raises.
+Decoder = tuple[Callable[[Any], list[Tree]], type[Exception]]
 
 
-def decoder(fmt: str, options: dict[str, Any]) -> tuple[Callable[[Any], list[Tree]], type[Exception]]:
-    """The decoder of a payload format and what it raises."""
-    if fmt == "json":
-        return jsontree.decode, jsontree.JsonError
-    if fmt == "xml":
-        return xmltree.decode, xmltree.XmlError
-    if fmt == "protobuf":
-        d = proto.Descriptors.from_bytes(options["descriptors"])
-        message = d.message(options["message"])
-        return (lambda data: proto.decode(d, message, data)), proto.ProtoError
-    raise GrammarError(f"unknown format {fmt}: one of {', '.join(FORMATS)}")
+def _protobuf(options: dict[str, Any]) -> Decoder:
+    d = proto.Descriptors.from_bytes(options["descriptors"])
+    message = d.message(options["message"])
+    return (lambda data: proto.decode(d, message, data)), proto.ProtoError
+
+
+_FORMATS: dict[str, Callable[[dict[str, Any]], Decoder]] = {
+    "json": lambda options: (jsontree.decode, jsontree.JsonError),
+    "xml": lambda options: (xmltree.decode, xmltree.XmlError),
+    "protobuf": _protobuf,
+}
+
+
+def register_format(name: str, decode: Callable[..., list[Tree]], broken: type[Exception] = ValueError) -> None:
+    """A payload format of one's own: ``decode(payload, **options)`` gives the forest, or raises ``broken``.
+
+    A forest is a list of trees (label, children), a label a pair of kind and value; see
+    :mod:`treegate.labels`. The function is shipped to executors with each grammar.
+    """
+    if name in ("json", "xml", "protobuf"):
+        raise GrammarError(f"{name} is there already")
+    _FORMATS[name] = lambda options: ((lambda payload: decode(payload, **options)) if options else decode, broken)
+
+
+def _format(fmt: str) -> Callable[[dict[str, Any]], Decoder]:
+    if fmt not in _FORMATS:
+        raise GrammarError(f"unknown format {fmt}: one of {', '.join(_FORMATS)}")
+    return _FORMATS[fmt]
+
+
+#: How a worker judges a forest. The first is what plans use; the others are the definition, for comparison.
+ENGINES: dict[str, Callable[[Grammar, str], Callable[[list[Tree]], bool]]] = {
+    "automaton": lambda g, key: automaton(g, key).accepts,
+    "derivative": lambda g, key: lambda forest: naive.accepts(g, forest),
+    "shared derivative": lambda g, key: lambda forest: naive.accepts(g, forest, shared=True),
+}
 
 
 def _shipped(grammar: Grammar) -> tuple[bytes, str]:
@@ -48,32 +75,33 @@ def _shipped(grammar: Grammar) -> tuple[bytes, str]:
 _grammars: dict[str, Grammar] = {}
 
 
-def _machine(data: bytes, key: str):
+def _grammar(data: bytes, key: str) -> Grammar:
     if key not in _grammars:
         if len(_grammars) >= 64:
             _grammars.clear()
         _grammars[key] = pickle.loads(data)
-    return automaton(_grammars[key], key)
+    return _grammars[key]
 
 
-def payload_column(grammar: Grammar, column: Column, fmt: str, on_error: str = "null", **options: Any) -> Column:
+def payload_column(grammar: Grammar, column: Column, fmt: str, on_error: str = "null", engine: str = "automaton", **options: Any) -> Column:
     """Whether the payload is accepted; null for null payloads and, unless ``on_error`` is "raise", for broken ones."""
     if on_error not in ("null", "raise"):
         raise GrammarError('on_error: "null" or "raise"')
-    decoder(fmt, options)  # raises here what it would raise on an executor
+    made = _format(fmt)
+    made(options)  # raises here what it would raise on an executor
     data, key = _shipped(grammar)
 
     @F.arrow_udf(T.BooleanType())
     def accepts(payload: pa.Array) -> pa.Array:
-        machine = _machine(data, key)
-        decode, broken = decoder(fmt, options)
+        judge = ENGINES[engine](_grammar(data, key), key)
+        decode, broken = made(options)
         out = []
         for x in payload.to_pylist():
             if x is None:
                 out.append(None)
                 continue
             try:
-                out.append(machine.accepts(decode(x)))
+                out.append(judge(decode(x)))
             except broken:
                 if on_error == "raise":
                     raise
@@ -83,15 +111,15 @@ def payload_column(grammar: Grammar, column: Column, fmt: str, on_error: str = "
     return accepts(column)
 
 
-def row_column(grammar: Grammar, schema: T.StructType) -> Column:
-    """Whether a whole row is accepted, by the automaton."""
+def row_column(grammar: Grammar, schema: T.StructType, engine: str = "automaton") -> Column:
+    """Whether a whole row is accepted, by an engine."""
     data, key = _shipped(grammar)
     build_schema = schema.json()
 
     @F.arrow_udf(T.BooleanType())
     def accepts(row: pa.Array) -> pa.Array:
-        machine = _machine(data, key)
+        judge = ENGINES[engine](_grammar(data, key), key)
         build = rows.forest_builder(T.StructType.fromJson(json.loads(build_schema)))
-        return pa.array([machine.accepts(build(x)) for x in row.to_pylist()], pa.bool_())
+        return pa.array([judge(build(x)) for x in row.to_pylist()], pa.bool_())
 
     return accepts(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]))

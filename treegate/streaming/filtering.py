@@ -16,6 +16,10 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def filter_to_memory(grammar: Grammar, stream: DataFrame, name: str, **how: Any) -> StreamingQuery:
-    """Runs what is there through the grammar into an in-memory table, and ends."""
-    return grammar.filter(stream, **how).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+def filter_to_files(grammar: Grammar, stream: DataFrame, path: str, checkpoint: str, **how: Any) -> StreamingQuery:
+    """Runs what is there through the grammar into Parquet files under ``path``, and ends.
+
+    ``checkpoint`` (a folder that all executors see) holds what was read and written, so
+    a query that is started again goes on where it ended and writes no row twice.
+    """
+    return grammar.filter(stream, **how).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
