@@ -84,6 +84,20 @@ def test_links_across_a_centre_are_found(spark, monkeypatch):
     check(rows, neardup.near_duplicates(documents(spark, rows), k=2).collect(), 2)
 
 
+def test_links_between_sets_of_other_sizes_are_found(spark, monkeypatch):
+    """Texts that grow, each just near enough to the next: links cross from one level of sizes to the next."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(14)
+    rows, words = [], prose(rng, 41).split()
+    while len(words) < 700:
+        rows.append(" ".join(words))
+        words = words + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, len(words) // 4))]
+    rows += [" ".join(w + ("z" if rng.random() < 0.04 else "") for w in t.split()) for t in rows]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    check(rows, neardup.near_duplicates(documents(spark, rows), k=2).collect(), 2)
+
+
 def test_block_comparer_counts_on_full_sets():
     import pyarrow as pa
 
@@ -91,7 +105,7 @@ def test_block_comparer_counts_on_full_sets():
     base = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, 4, dtype=np.uint64)])) for _ in range(40)]
     labels = [i % 3 for i in range(40)]
-    group = pa.table({"centre": [0] * 40, "rep": list(range(40)), "label": labels, "own": [i % 2 for i in range(40)], "i": [0] * 40, "j": [1] * 40, "elements": pa.array([s.tobytes() for s in sets], pa.binary())})
+    group = pa.table({"centre": [0] * 40, "rep": list(range(40)), "label": labels, "first": [i % 2 == 0 for i in range(40)], "second": [i % 2 == 1 for i in range(40)], "elements": pa.array([s.tobytes() for s in sets], pa.binary())})
     got = set(zip(*(neardup._block_comparer(80)(group).column(c).to_pylist() for c in "ab"), strict=True))
     want = set()
     for p in range(40):

@@ -1,21 +1,19 @@
 """Shared folders, written intermediate tables and other plumbing of the operators.
 
 Intermediate tables cut lineage and survive lost executors: they are Parquet in the
-folder that ``spark.checkpoint.dir`` names.  Only where that is unset (tests, local
-sessions) a temporary folder of this machine is made and set.
+folder that :mod:`treegate.shared` finds.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treegate.shared import shared_folder
+
 #: Held while an intermediate table is written: its shuffle files go when it ends, Arrow batches are bounded in bytes,
 #: and partitions are joined up to the advisory size, so small tables are few files.
 _WHILE_WRITING = {
@@ -27,27 +25,13 @@ _WHILE_WRITING = {
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_to.isDefined():
-        return set_to.get().rstrip("/")
-    at = tempfile.mkdtemp(prefix="treegate-")
-    atexit.register(shutil.rmtree, at, True)
-    spark.sparkContext.setCheckpointDir(f"file://{at}")
-    return f"file://{at}"
-
-
 class Workspace:
     """A folder of its own in the shared folder, for the tables of one operator run."""
 
     def __init__(self, spark: SparkSession, name: str = "tables", path: str | None = None):
         """``path``: a folder that is there already."""
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read from the files."""
