@@ -26,7 +26,7 @@ def test_headers_files_and_inheritance(spark):
     df, got = scan(spark, ROWS)
     assert got == {
         (1, "a/LICENSE"): ("MIT", "file"), (2, "a/x.py"): ("MIT", "inherited"), (3, "a/b/y.py"): ("MIT", "inherited"), (4, "a/b/z.py"): ("Apache-2.0", "header"), (5, "a/b/c/COPYING"): ("GPL-3.0", "file"), (6, "a/b/c/d/e/w.py"): ("GPL-3.0", "inherited"), (7, "q/x.py"): (None, None),
-        (8, "top.py"): (None, None), (9, "r/notice.txt"): ("GPL-3.0", "file"), (10, "r/deep/er/x.py"): ("GPL-3.0", "inherited"), (11, None): ("MIT", "file"), (12, None): (None, None), (13, "ab/x.py"): (None, None), (None, "a/n.py"): ("MIT", "inherited"), (14, "s/x.py"): (None, None),
+        (8, "top.py"): (None, None), (9, "r/notice.txt"): ("GPL-3.0", "header"), (10, "r/deep/er/x.py"): (None, None), (11, None): ("MIT", "header"), (12, None): (None, None), (13, "ab/x.py"): (None, None), (None, "a/n.py"): ("MIT", "inherited"), (14, "s/x.py"): (None, None),
     }
 
 
@@ -95,3 +95,15 @@ def test_wrapped_headers_and_licence_files(spark):
         want |= {f"full/{p.stem}/{p.name}": (p.stem, "file"), f"full/{p.stem}/x.c": (p.stem, "inherited")}
     _, got = scan(spark, rows)
     assert {path: x for (_, path), x in got.items()} == want
+
+
+def test_lines_that_name_a_licence_and_licences_under_other_names(spark):
+    code = "".join(f"x{i} = f{i}(y{i})\n" for i in range(60))
+    lines = {"BSD-2-Clause": "Licensed under the BSD 2-Clause License.", "ISC": "Licensed under the ISC License.", "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.", "EPL-2.0": "Licensed under the Eclipse Public License, version 2.0.", "Unlicense": "This is released into the public domain under the Unlicense."}
+    lines |= {f"spdx {n}": f"SPDX-License-Identifier: {n}" for n in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "EPL-2.0", "LGPL-2.1", "GPL-2.0")}
+    rows = [(i, f"{n}/x.py", f"# {line}\n{code}") for i, (n, line) in enumerate(lines.items())]
+    rows += [(100, "one/line.py", MIT), (101, "one/x.py", code), (102, "bsd/terms.txt", wrapped(HEADERS["BSD-3-Clause"])), (103, "bsd/a/x.py", code), (104, "short/LICENSE", HEADERS["MIT"][:600]), (105, "short/x.py", code), (106, "none/x.py", f"# SPDX-License-Identifier: LicenseRef-Ours\n{code}")]
+    _, got = scan(spark, rows)
+    want = {f"{n}/x.py": (n.removeprefix("spdx "), "header") for n in lines}
+    want |= {"one/line.py": ("MIT", "header"), "one/x.py": (None, None), "bsd/terms.txt": ("BSD-3-Clause", "file"), "bsd/a/x.py": ("BSD-3-Clause", "inherited"), "short/LICENSE": ("MIT", "file"), "short/x.py": ("MIT", "inherited"), "none/x.py": (None, None)}
+    assert {path: x for (_, path), x in got.items()} == want

@@ -11,8 +11,8 @@ frequency over the licence templates, and terms that no template has weigh as th
 rarest.  The best cosine to a template of at least ``THRESHOLD`` names the licence;
 blocks of several lines at ``STRONG`` or above go first, as a line says less.
 
-A file is a licence file if its name is one of ``LICENCE_NAMES`` or its whole text is
-itself close to a template (``WHOLE`` for those of ``NOTICES``); its licence holds for its directory.  A file without a
+A file is a licence file if its name is one of ``LICENCE_NAMES`` or its whole text is a
+notice or licence text (``WHOLE``); its licence holds for its directory.  A file without a
 licence of its own inherits from the nearest ancestor directory that has one.  Only
 distinct directories are expanded into their ancestors, so a directory with a third of
 all files is one row there.
@@ -32,6 +32,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -44,7 +45,13 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("ISC", "Licensed under the ISC License."),
+    ("Unlicense", "Released into the public domain under the Unlicense."),
 ]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES})]
 
 #: What a header line or a licence text mentions, and names of licence files.
 ANCHORS = "(?i)licen[cs]e|copyright|public domain|spdx|permission is hereby|redistribution and use"
@@ -126,7 +133,8 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     near = lambda df, against: df.join(_best(df.select("key", "unit").dropDuplicates(["key"]), against, threshold), "key")
     several = F.col("unit").rlike(r"[\p{L}\p{N}][^\n]*\n[^\p{L}\p{N}]*[\p{L}\p{N}]")
     strong = (F.col("similarity") >= STRONG) & (F.col("whole") | several)
-    ranked = near(units, templates).withColumn("rank", F.when(F.col("whole"), 1).otherwise(2))
+    # a text that is one such line says under what it stands, but is no licence for others
+    ranked = near(units, templates).withColumn("rank", F.when(F.col("whole"), 1).otherwise(2)).withColumn("whole", F.lit(False))
     noticed = near(blocks, notices).withColumn("rank", F.when(strong, 0).otherwise(2)).withColumn("whole", F.col("whole") & (F.col("similarity") >= WHOLE))
 
     order = F.struct(F.col("rank").alias("rank"), (-F.col("similarity")).alias("minus"), F.col("license").alias("license"))
@@ -171,7 +179,7 @@ cos as (select unit, license, round(dot / norm, 4) cosine from dots join norms u
 best as (select unit, license, cosine from cos where cosine >= {threshold} qualify row_number() over (partition by unit order by cosine desc, license) = 1),
 own as (select doc_id, path, license own, cosine similarity, whole from u join best using (unit)
         qualify row_number() over (partition by doc_id, path order by whole desc, cosine desc, license) = 1),
-j as (select f.doc_id, f.path, own, similarity, own is not null and (whole or split_part(f.path, '/', -1) in ({licence_names})) is_file, regexp_replace(f.path, '/?[^/]*$', '') dir from f left join own using (doc_id, path)),
+j as (select f.doc_id, f.path, own, similarity, own is not null and split_part(f.path, '/', -1) in ({licence_names}) is_file, regexp_replace(f.path, '/?[^/]*$', '') dir from f left join own using (doc_id, path)),
 held as (select dir ancestor, own held, similarity held_similarity from j where is_file qualify row_number() over (partition by dir order by similarity desc, own) = 1),
 near as (select j.dir, held, held_similarity from (select distinct dir from j where own is null) j join held on ancestor = '' or j.dir = ancestor or starts_with(j.dir, concat(ancestor, '/'))
          qualify row_number() over (partition by j.dir order by length(ancestor) desc) = 1)

@@ -51,6 +51,9 @@ NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-2-Clause", _BSD + _BSD_END),
     ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", """Eclipse Public License - v 2.0
+THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""),
     ("ISC", _ISC),
     ("ISC", _ISC + _ISC_END),
     ("MIT", _MIT),
