@@ -6,9 +6,13 @@ folder that :mod:`treegate.shared` finds.
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +26,43 @@ _WHILE_WRITING = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
 }
 
-DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bits of a bitmap of keys, as a power of two, at most.
+MOST_BITS = 27
+
+
+#: Folders that go when this process ends, as nothing can read their tables then.
+_passing: set[str] = set()
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in _passing:
+        try:
+            where, at = fs.FileSystem.from_uri(path)
+            where.delete_dir(at)
+        except (OSError, pa.ArrowException):  # never written, or gone already
+            pass
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders of all workspaces that are made within, once nothing made within is read any more."""
+    before = set(_passing)
+    yield
+    for path in _passing - before:
+        Workspace(spark, path=path).delete("")
+        _passing.discard(path)
 
 
 class Workspace:
     """A folder of its own in the shared folder, for the tables of one operator run."""
 
-    def __init__(self, spark: SparkSession, name: str = "tables", path: str | None = None):
-        """``path``: a folder that is there already."""
+    def __init__(self, spark: SparkSession, name: str = "tables", path: str | None = None, keep: bool = False):
+        """``path``: a folder that is there already. Others go when this process ends, unless ``keep``."""
         self.spark = spark
         self.path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if path is None and not keep:
+            _passing.add(self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and returns it as read from the files."""
@@ -85,8 +116,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def marked(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataFrame:
+def marked(df: DataFrame, wanted: DataFrame, *key: str, bits: int | None = None) -> DataFrame:
     """``df`` with ``__maybe``: whether the row's key may be in ``wanted``; see :func:`likely`."""
+    if bits is None:
+        bits = min(MOST_BITS, max(16, (8 * wanted.count()).bit_length()))
     place = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
     word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     found = wanted.select(word.alias("__word"), F.call_function("shiftleft", F.expr("1L"), bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
@@ -95,17 +128,19 @@ def marked(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataF
     return placed.select(*[F.col(quoted(c)) for c in df.columns], maybe.alias("__maybe"))
 
 
-def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int = 24) -> DataFrame:
+def likely(df: DataFrame, wanted: DataFrame, *key: str, bits: int | None = None) -> DataFrame:
     """The rows of ``df`` whose key may be in ``wanted``: all that are, and few others, without a shuffle of ``df``.
 
     A bitmap of 2**bits hashed keys, in rows of 64, is broadcast: 2**(bits - 6) pairs of
-    numbers at most, whatever the size of ``wanted``. A join that follows is exact; this
-    only keeps texts that it would drop out of its shuffle.
+    numbers at most. There are eight bits or more for each row of ``wanted``, but never
+    over 2**MOST_BITS, so what is broadcast stays under some 64 MB, and beyond some
+    10**8 rows more and more others pass. A join that follows is exact; this only keeps
+    texts that it would drop out of its shuffle.
     """
     return marked(df, wanted, *key, bits=bits).where("__maybe").drop("__maybe")
 
 
-def without(df: DataFrame, gone: DataFrame, key: str, bits: int = 24) -> DataFrame:
+def without(df: DataFrame, gone: DataFrame, key: str, bits: int | None = None) -> DataFrame:
     """The rows of ``df`` whose ``key`` isn't in ``gone``; only those that the bitmap can't clear are shuffled."""
     split = marked(df, gone, key, bits=bits)
     clear, open_rows = split.where("not __maybe").drop("__maybe"), split.where("__maybe").drop("__maybe")
