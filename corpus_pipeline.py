@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegate.llm.common import Workspace, likely, unused, without
+from treegate.llm.common import Workspace, likely, passing, unused, without
 from treegate.llm.decontaminate import find_items
 from treegate.llm.langid import fit, identify
 from treegate.llm.neardup import near_duplicates
@@ -100,11 +100,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, writing each stage's rows as Parquet."""
-    work = Workspace(spark, "pipeline")
+    """Applies the stages to ``documents``, writing each stage's rows as Parquet; the last table stays, all others go."""
+    work = Workspace(spark, "pipeline", keep=True)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"{i}_{name}")
+        with passing(spark):
+            docs = work.write(stage(spark, docs, sf_dir), f"{i}_{name}")
         if i:
             work.delete(f"{i - 1}_{STAGES[i - 1][0]}")
     return docs
