@@ -200,3 +200,23 @@ def test_necessary_strings_are_necessary(grammar, text):
 def test_validate_of_rows(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     assert [r.ok for r in parse('.b == "x"').validate(df, "ok").orderBy("a").collect()] == [True, False]
+
+
+def test_folders_of_cases(spark, tmp_path, capsys):
+    from treegate import cases
+    from treegate.catalogue import nation_descriptors
+
+    body = proto.encode_field(1, proto.UINT64_T, 5) + proto.encode_field(2, proto.STRING_T, "X")
+    made = {"json/one/valid.json": b'{"a":1}', "json/two/invalid.json": b'{"a":2}', "xml/one/valid.xml": b"<a>1</a>", "pb/one/valid.pb": body, "json/wrong/valid.json": b'{"a":3}'}
+    for name, data in made.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True)
+        path.write_bytes(data)
+        (path.parent / "grammar.txt").write_text(".key == uint(5)" if name.startswith("pb") else "a == 1")
+    (tmp_path / "pb/nation.desc").write_bytes(nation_descriptors())
+    (tmp_path / "pb/one/message").write_text("nation.Nation\n")
+    assert cases.main(str(tmp_path)) == 1
+    said = capsys.readouterr().out
+    assert "json/wrong: valid, but not to automaton, derivative" in said and "5 cases, 1 wrong" in said
+    assert [(r.case, r.format, r.valid) for r in cases.table(spark, tmp_path).collect()] == [("one", "json", True), ("two", "json", False), ("wrong", "json", True), ("one", "xml", True), ("one", "pb", True)]
+    assert cases.main(str(tmp_path / "json")) == 0
