@@ -35,7 +35,7 @@ from treegate.llm.common import Workspace, carried, list_of, unpacked
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own score; least overlaps of question 4-grams and of answer words.
-THRESHOLD, QUESTION, ANSWER = 0.6, 0.6, 0.6
+THRESHOLD, QUESTION, ANSWER = 0.6, 0.3, 0.5
 GRAM, BLOCKS, BLOCK_ITEMS = 4, 64, 4
 #: Items of one index, and their bytes, on average; more make more indexes, each over all texts.
 ITEMS_PER_INDEX, BYTES_PER_INDEX = 25_000, 25_000_000
