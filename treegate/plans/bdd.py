@@ -38,7 +38,7 @@ class TooLarge(Exception):
 class Diagrams:
     """A manager of diagrams over atoms in order of first use; nodes are numbered, 0 and 1 are the leaves."""
 
-    def __init__(self, limit: int = 20_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self.atoms: list[Atom] = []
         self.level: dict[Any, int] = {}

@@ -251,40 +251,65 @@ class Lowering:
         return [self._decided(d, p, whole) for p in ps], failed
 
     def _in_order(self, d: Diagrams, fields: list[tuple[str, T.DataType, Column, tuple]], names: tuple[str, ...], p: Pattern) -> tuple[int, int]:
-        failed = bdd.FALSE
-        states: dict[Pattern, int] = {self._pruned(p, names): bdd.TRUE}
+        """Acceptance of the fields by one pattern, and failure: the residuals that each field may leave, then their diagrams from the last field back.
+
+        Conditions get their places in the diagram on the way forth, so on the way back every field adds on top.
+        """
+        last: dict[Expr, int] = {}
+
+        def alive(e: Expr, i: int) -> bool:
+            """Whether some field from the i-th on has a name for which the expression holds."""
+            if e not in last:
+                last[e] = next((j for j in range(len(names) - 1, -1, -1) if e.eval((STRING, names[j]))), -1)
+            return last[e] >= i
+
+        start = self._pruned(p, lambda e: alive(e, 0))
+        states: dict[Pattern, None] = {start: None}
+        ways: list[dict[Pattern, tuple[dict[Pattern, int], int] | None]] = []
         for i, (name, kind, column, path) in enumerate(fields):
-            after: dict[Pattern, int] = {}
-            for q, condition in states.items():
+            ways.append({})
+            for q in states:
                 if P.is_settled(q):
-                    after[q] = d.either(after.get(q, bdd.FALSE), condition)
+                    ways[i][q] = {q: bdd.TRUE}, bdd.FALSE
                     continue
                 try:
                     taken = [n for n in steps.asked(self.grammar, q) if n.expr.eval((STRING, name))]
                 except RecordError:
-                    failed = d.either(failed, condition)
+                    ways[i][q] = None
                     continue
                 inside = list(dict.fromkeys(n.parts[0] for n in taken))
                 bits, wrong = self._value(d, kind, column, path, inside)
-                failed = d.either(failed, d.both(condition, wrong))
                 accepted = dict(zip(inside, bits, strict=True))
                 when = {n: accepted[n.parts[0]] for n in taken}
+                after: dict[Pattern, int] = {}
                 for r, how in self._moves(d, q, lambda n: when.get(n, bdd.FALSE)).items():
-                    r = self._pruned(r, names[i + 1 :])
-                    after[r] = d.either(after.get(r, bdd.FALSE), d.both(condition, how))
-            states = {q: c for q, c in after.items() if c != bdd.FALSE}
+                    r = self._pruned(r, lambda e: alive(e, i + 1))
+                    after[r] = d.either(after.get(r, bdd.FALSE), how)
+                ways[i][q] = after, wrong
+            states = {r: None for way in ways[i].values() if way is not None for r in way[0]}
             if len(states) > PATTERNS:
                 raise NoPlan("too many residual patterns")
-        return d.any([condition for q, condition in states.items() if q.nullable]), failed
+        accepts = {q: bdd.TRUE if q.nullable else bdd.FALSE for q in states}
+        fails = dict.fromkeys(states, bdd.FALSE)
+        for table in reversed(ways):
+            now: dict[Pattern, tuple[int, int]] = {}
+            for q, way in table.items():
+                if way is None:
+                    now[q] = bdd.FALSE, bdd.TRUE
+                else:
+                    after, wrong = way
+                    now[q] = d.any([d.both(how, accepts[r]) for r, how in after.items()]), d.any([wrong, *(d.both(how, fails[r]) for r, how in after.items())])
+            accepts, fails = {q: x for q, (x, _) in now.items()}, {q: x for q, (_, x) in now.items()}
+        return accepts[start], fails[start]
 
-    def _pruned(self, p: Pattern, names: tuple[str, ...]) -> Pattern:
-        """A pattern that accepts the same forests of some fields of these names, without the nodes that are none of them."""
+    def _pruned(self, p: Pattern, alive: Callable[[Expr], bool]) -> Pattern:
+        """A pattern that accepts the same forests of the fields to come, without the nodes that are none of them."""
         if not self.readable:
             return p
-        prune = lambda q: self._pruned(q, names)
+        prune = lambda q: self._pruned(q, alive)
         match p.op:
             case "node":
-                return p if any(p.expr.eval((STRING, n)) for n in names) else P.NONE
+                return p if alive(p.expr) else P.NONE
             case "concat":
                 return P.concat(*map(prune, p.parts))
             case "interleave":
