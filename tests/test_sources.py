@@ -220,3 +220,18 @@ def test_folders_of_cases(spark, tmp_path, capsys):
     assert "json/wrong: valid, but not to automaton, derivative" in said and "5 cases, 1 wrong" in said
     assert [(r.case, r.format, r.valid) for r in cases.table(spark, tmp_path).collect()] == [("one", "json", True), ("two", "json", False), ("wrong", "json", True), ("one", "xml", True), ("one", "pb", True)]
     assert cases.main(str(tmp_path / "json")) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    from treegate.shared import shared_folder
+
+    session = MagicMock()
+    session.conf.get.return_value = None
+    session.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    session.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    session.conf.get.return_value = "hdfs://shared/"
+    assert shared_folder(session) == "hdfs://shared"
